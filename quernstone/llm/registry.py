@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from quernstone.llm import line_dedup, mixing
+from quernstone.llm import avi, line_dedup, mixing, quality, token_counts, topk
 
 QUERIES = {
+    "op2_media_columns": avi.op2_media_columns,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_exact_topk": topk.op7_exact_topk,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLES = {
+    "op7_exact_topk": topk.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
