@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import avi, line_dedup, mixing, quality, token_counts, topk
+from quernstone.llm import avi, line_dedup, mixing, near_dedup, quality, token_counts, topk
 
 QUERIES = {
     "op2_media_columns": avi.op2_media_columns,
@@ -11,10 +11,12 @@ QUERIES = {
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLES = {
     "op7_exact_topk": topk.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op10_near_dedup": near_dedup.OP10_SQL,
 }
