@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quernstone.llm import avi, line_dedup, mixing, near_dedup, quality, token_counts, topk
+from quernstone.llm import avi, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, topk
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_media_columns": avi.op2_media_columns,
     "op3_token_counts": token_counts.op3_token_counts,
     "op6_quality_classifier": quality.op6_quality_classifier,
