@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quernstone.llm import avi, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, topk
+from quernstone.llm import avi, language_id, line_dedup, mixing, near_dedup, pieces, quality, suffix_dedup, token_counts, topk
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_media_columns": avi.op2_media_columns,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_sentencepiece_nbest": pieces.op4_sentencepiece_nbest,
+    "op5_language_id": language_id.op5_language_id,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_line_dedup": line_dedup.op8_line_dedup,
