@@ -1,12 +1,11 @@
 """Mixing and line dedup against plain Python on small tables with awkward rows."""
 
 import collections
-import hashlib
-import re
 
 import pytest
 
 from quernstone.llm import line_dedup, mixing
+from tests.llm import brute
 
 ROWS = [
     (1, "a b c\nmenu\n\nend", "s1", 7), (2, "menu \nother words here", "s2", 7), (3, " menu", "s3", 7), (4, "menu\nmenu", "s4", 7),
@@ -21,60 +20,23 @@ def docs(spark):
     return spark.createDataFrame(ROWS, SCHEMA)
 
 
-def brute_lines(rows, least):
-    sites, first = collections.defaultdict(set), {}
-    for d, t, s, _ in rows:
-        for x in (t or "").split("\n"):
-            if k := x.strip(" \t\n\v\f\r"):
-                sites[k].add(s)
-                first[k] = min(first.get(k, float("inf")), float("inf") if d is None else d)
-    out = []
-    for d, t, s, lv in rows:
-        keep = [x for x in (t or "").split("\n") if not ((k := x.strip(" \t\n\v\f\r")) and len(sites[k]) >= least and d != first[k])]
-        out.append((d, None if t is None else "\n".join(keep), s, lv))
-    return out
-
-
 @pytest.mark.parametrize("least", [2, 5, 6, 7])
 def test_line_dedup(docs, least):
     got = [tuple(r) for r in line_dedup.dedup_lines(docs, least).collect()]
-    assert collections.Counter(got) == collections.Counter(brute_lines(ROWS, least))
+    assert collections.Counter(got) == collections.Counter(brute.lines(ROWS, least))
 
 
 def test_line_dedup_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def brute_targets(sizes, share=1.5, most=2):
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    target, free, left = dict.fromkeys(names, 0.0), set(names), share * sum(sizes.values())
-    while free and left > 1e-9:
-        total = sum(w[s] for s in free)
-        over = [s for s in free if left * w[s] / total >= most * sizes[s]]
-        if not over:
-            for s in free:
-                target[s] = left * w[s] / total
-            break
-        for s in over:
-            target[s] = most * sizes[s]
-            left -= target[s]
-            free.discard(s)
-    return target
-
-
 def test_mix(docs):
     sizes = collections.Counter()
     for _, t, s, _ in ROWS:
-        sizes[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    want = brute_targets(sizes)
+        sizes[s] += len(brute.WORD.findall(t or ""))
     got = {r.source: r.target for r in mixing.source_targets(docs.select("source", mixing.n_words().alias("size"))).collect()}
-    assert got == pytest.approx(want)
-    out = collections.Counter(tuple(r) for r in mixing.mix(docs).collect())
-    for row, n in collections.Counter(ROWS).items():
-        rate = want[row[2]] / sizes[row[2]] if sizes[row[2]] else 0
-        dice = int(hashlib.md5(f"mix-1|{'' if row[0] is None else row[0]}".encode()).hexdigest()[:8], 16) / 2**32
-        assert out[row] == n * (int(rate) + (dice < rate - int(rate)))
+    assert got == pytest.approx(brute.targets(sizes))
+    assert collections.Counter(tuple(r) for r in mixing.mix(docs).collect()) == brute.mixed(ROWS)
 
 
 def test_mix_empty(spark):
