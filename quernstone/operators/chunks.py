@@ -178,3 +178,42 @@ def positions(chunks: DataFrame, language: str) -> DataFrame:
     end = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))
     clean = T.clean_chunk(F.col("content"))
     return chunks.select("doc_id", "chunk_id", (end - size).alias("start_pos"), end.alias("end_pos"), clean.alias("content"), T.token_estimate(clean, language).alias("token_count"))
+
+
+def assign_chunks(df: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """(doc_id, pos, chunk_id) of ordered elements (doc_id, pos, size, embedding) packed by size and mean cosine, without overlap."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        v = folds.unit(np.array(t["embedding"].to_pylist(), float))
+        own = [Element("x" * n) for n in t["size"].to_pylist()]
+        of = {i: k for k, index in enumerate(folds.greedy(own, v, cfg.with_(overlap_ratio=0.0))) for i in index}
+        return pa.table({"doc_id": t["doc_id"], "pos": t["pos"].cast(pa.int64()), "chunk_id": pa.array([of[i] for i in range(len(own))], pa.int32())})
+
+    return df.select("doc_id", "pos", "size", "embedding").groupBy("doc_id").applyInArrow(run, "doc_id long, pos long, chunk_id int")
+
+
+def fallback_chunks(docs: DataFrame, cfg: ChunkConfig, separator: str = r"\n\s*\n") -> DataFrame:
+    """(doc_id, chunk_id, content, n_parts) by size alone for (doc_id, text), as where the other steps fail."""
+    import re
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for d, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                parts = [x for p in re.split(separator, text.as_py() or "") if (x := " ".join(p.split()))]
+                out += [(d, k, c.content, len(c.paragraph_indices)) for k, c in enumerate(folds.fallback_packing(parts, cfg))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.string(), pa.int32()))], names=["doc_id", "chunk_id", "content", "n_parts"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_id int, content string, n_parts int")
+
+
+def repacked_paragraphs(docs: DataFrame, cfg: ChunkConfig, separator: str = r"\n\s*\n") -> DataFrame:
+    """(doc_id, pos, content): blocks, those over the largest size packed anew from their sentences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(d, k, p) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"]) for k, p in enumerate(folds.paragraphs(t.as_py() or "", cfg, separator))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "pos", "content"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, content string")

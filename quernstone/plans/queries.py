@@ -275,7 +275,14 @@ def length_balance(spark, sf):
     return _chunks(spark, sf).groupBy("doc_id").agg(F.round(Q.length_balance(), 6).alias("balance"))
 
 
-@query()
+_EDGES = f"""
+nx AS (SELECT doc_id, chunk_id, content AS c, lead(content) OVER (PARTITION BY doc_id ORDER BY chunk_id) AS a FROM ch),
+fa AS (SELECT doc_id, chunk_id, {_F13} AS v FROM (SELECT doc_id, chunk_id, right(c, 100) AS t FROM nx WHERE a IS NOT NULL)), fb AS (SELECT doc_id, chunk_id, {_F13} AS w FROM (SELECT doc_id, chunk_id, left(a, 100) AS t FROM nx WHERE a IS NOT NULL)),
+fd AS (SELECT doc_id, chunk_id, list_sum(list_transform(list_zip({V.REPEATS}, v, w), lambda x: x[1] * x[2] * x[3])) AS ab, list_sum(list_transform(list_zip({V.REPEATS}, v), lambda x: x[1] * x[2] * x[2])) AS aa, list_sum(list_transform(list_zip({V.REPEATS}, w), lambda x: x[1] * x[2] * x[2])) AS bb FROM fa JOIN fb USING (doc_id, chunk_id)),
+edges AS (SELECT doc_id, chunk_id, least(1.0::DOUBLE, 1 - CASE WHEN aa * bb > 0 THEN ab / (sqrt(aa) * sqrt(bb)) ELSE 0 END + CASE WHEN regexp_matches({_sql_strip('c')}, '[。.！!？?]$') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN regexp_matches({_sql_strip('a')}, '^[第章节一二三四五]') THEN 0.1::DOUBLE ELSE 0 END) AS score FROM fd JOIN nx USING (doc_id, chunk_id))"""
+
+
+@query(f"WITH RECURSIVE {_PACK}, {_EDGES} SELECT doc_id, chunk_id, round(score, 6) AS score FROM edges")
 def boundary_quality(spark, sf):
     return Q.boundary_scores(_chunks(spark, sf)).withColumn("score", F.round("score", 6))
 
@@ -322,6 +329,14 @@ def _talks(spark, sf):
 _TALKS = """SELECT conv_id AS doc_id, string_agg('## ' || role || chr(10) || chr(10) || text || CASE WHEN turn % 3 = 2 THEN chr(10) || chr(10) || '![turn ' || turn || '](http://img.example.com/' || turn || '.png)' ELSE '' END, chr(10) || chr(10) ORDER BY turn, text) AS markdown FROM conversations GROUP BY conv_id"""
 
 
+_PARAS = rf"""
+mb AS (SELECT doc_id, unnest(regexp_split_to_array(markdown, '\n\s*\n')) AS c, generate_subscripts(regexp_split_to_array(markdown, '\n\s*\n'), 1) AS k, markdown FROM ({_TALKS})),
+mt AS (SELECT doc_id, k, {_sql_strip('c')} AS c, len(list_filter(string_split(c, chr(10)), lambda x: trim(x) <> '')) > 1 AND contains(c, '---') AND contains(c, '|') AS tab FROM mb WHERE {_sql_strip('c')} <> ''),
+ml AS (SELECT doc_id, k, list_filter(list_transform(string_split(c, chr(10)), lambda x: {_sql_strip('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '^!\[([^\]]*)\]\(([^)]+)\)$')) AS ls FROM mt WHERE NOT tab),
+mp AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS index, len(ls) = 1 AND regexp_matches(ls[1], '^(#{{1,6}})\s+(.*)$') AS head, ls FROM ml WHERE len(ls) > 0),
+paras AS (SELECT doc_id, index, head, CASE WHEN head THEN length(regexp_extract(ls[1], '^(#{{1,6}})', 1)) END AS level, CASE WHEN head THEN regexp_extract(ls[1], '^(#{{1,6}})\s+(.*)$', 2) ELSE array_to_string(ls, chr(10)) END AS content FROM mp)"""
+
+
 @query(rf"""
 WITH i AS (SELECT doc_id, unnest(regexp_extract_all(markdown, '!\[([^\]]*)\]\(([^)]+)\)', 2)) AS url FROM ({_TALKS})), d AS (SELECT doc_id FROM ({_TALKS}))
 SELECT doc_id, url, regexp_extract(url, '([^/]+)$', 1) AS filename, 'inline' AS source FROM i
@@ -332,12 +347,17 @@ def markdown_images_merge(spark, sf):
     return M.all_images(docs, remote)
 
 
-@query()
+@query(rf"""WITH {_PARAS}, p AS (SELECT doc_id, count(*) FILTER (NOT head) AS paragraph_count, count(*) FILTER (head) AS heading_count FROM paras GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS table_count FROM mt WHERE tab GROUP BY 1)
+SELECT d.doc_id, coalesce(paragraph_count, 0) AS paragraph_count, coalesce(heading_count, 0) AS heading_count, coalesce(table_count, 0) AS table_count, len(regexp_extract_all(d.markdown, '!\[([^\]]*)\]\(([^)]+)\)'))::BIGINT AS image_count
+FROM ({_TALKS}) d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""")
 def document_structure(spark, sf):
     return M.structure(_talks(spark, sf))
 
 
-@query()
+@query(f"""WITH {_PARAS}, s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY index) AS section FROM paras)
+SELECT doc_id, max(content) FILTER (head) AS title, max(level) FILTER (head) AS level, min(index) AS start_index, list(index ORDER BY index) FILTER (NOT head) AS paragraphs
+FROM s WHERE section > 0 GROUP BY doc_id, section HAVING count(*) FILTER (NOT head) > 0""")
 def document_sections(spark, sf):
     return M.sections(M.paragraphs(_talks(spark, sf)))
 
@@ -347,7 +367,9 @@ def markdown_elements(spark, sf):
     return M.elements(_talks(spark, sf), language="en")
 
 
-@query()
+@query(f"""WITH {_PARAS}, k AS (SELECT doc_id, index, content, {_sql_flat("CASE WHEN contains(content, chr(10)) THEN content ELSE regexp_replace(content, '^#{1,6}[ ]+', '') END")} AS key FROM paras),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY index) AS nth FROM k), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY index) AS nth FROM k WHERE index % 5 <> 4)
+SELECT a.doc_id, a.index AS pos, a.content, coalesce(b.index, -1) AS matched FROM a LEFT JOIN b USING (doc_id, key, nth)""")
 def paragraph_matching(spark, sf):
     there = M.paragraphs(_talks(spark, sf))
     return M.matched(there.select("doc_id", F.col("index").alias("pos"), "content"), there.select("doc_id", "index", "content").filter("index % 5 <> 4"))
@@ -376,3 +398,38 @@ def markdown_chunks(spark, sf):
 @query()
 def chunk_summary(spark, sf):
     return Q.summary(C.chunk_documents(_docs(spark, sf), SIZES, "greedy", separator="\n"))
+
+
+@query(f"""WITH RECURSIVE e AS ({_VEC}), g AS (SELECT doc_id, pos, 0 AS chunk_id, 40 AS size, 1 AS n, e AS total FROM e WHERE pos = 0
+  UNION ALL SELECT doc_id, pos, CASE WHEN cut THEN chunk_id + 1 ELSE chunk_id END, CASE WHEN cut THEN add ELSE size + add END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN e ELSE list_transform(list_zip(total, e), lambda x: x[1] + x[2]) END
+  FROM (SELECT e.doc_id, e.pos, g.chunk_id, g.size, g.n, g.total, e.e, (40 + (e.pos % 3) * 30)::INT AS add, g.size + 40 + (e.pos % 3) * 30 > 400 OR (g.size >= 200 AND list_dot_product(g.total, e.e) / g.n < 0.1) AS cut FROM g JOIN e ON e.doc_id = g.doc_id AND e.pos = g.pos + 1))
+SELECT doc_id, pos, chunk_id FROM g""")
+def greedy_assignment(spark, sf):
+    v = _vectors(spark, sf).withColumn("size", (F.lit(40) + (F.col("pos") % 3) * 30).cast("int"))
+    return C.assign_chunks(v, ChunkConfig(5, 400, 200, 0.0, 0.1))
+
+
+@query(f"""WITH RECURSIVE
+p AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM (SELECT doc_id, pos, {_sql_flat('content')} AS content FROM ({_LINES})) WHERE content <> ''),
+g AS (SELECT doc_id, k, 0 AS chunk_id, length(content) + 2 AS size FROM p WHERE k = 1
+      UNION ALL SELECT p.doc_id, p.k, CASE WHEN g.size + length(p.content) > 800 THEN g.chunk_id + 1 ELSE g.chunk_id END, CASE WHEN g.size + length(p.content) > 800 THEN 0 ELSE g.size END + length(p.content) + 2 FROM g JOIN p ON p.doc_id = g.doc_id AND p.k = g.k + 1)
+SELECT g.doc_id, g.chunk_id, string_agg(p.content, chr(10) || chr(10) ORDER BY g.k) AS content, count(*)::INT AS n_parts FROM g JOIN p USING (doc_id, k) GROUP BY g.doc_id, g.chunk_id""")
+def fallback_packing(spark, sf):
+    return C.fallback_chunks(_docs(spark, sf), SIZES, "\n")
+
+
+@query()
+def long_paragraph_repack(spark, sf):
+    return C.repacked_paragraphs(_docs(spark, sf), SIZES)
+
+
+@query(f"WITH RECURSIVE {_PACK} SELECT doc_id, chunk_id, content, n_parts FROM ch")
+def save_load_roundtrip(spark, sf):
+    """What is written is what is read back."""
+    import tempfile
+
+    from quernstone.sources.sinks import load_chunks, save_parquet
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernstone-")
+    save_parquet(_chunks(spark, sf), f"{folder.rstrip('/')}/quernstone-chunks")
+    return load_chunks(spark, f"{folder.rstrip('/')}/quernstone-chunks")
