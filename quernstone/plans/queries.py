@@ -13,6 +13,7 @@ from quernstone.functions import vectors as V
 from quernstone.operators import boundaries as B
 from quernstone.operators import chunks as C
 from quernstone.operators import markdown as M
+from quernstone.operators import phrases as P
 from quernstone.operators import quality as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,9 +288,29 @@ def boundary_quality(spark, sf):
     return Q.boundary_scores(_chunks(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query()
+_SQL_DENSITY = f"""CASE WHEN len({_sql_words('content')}) = 0 THEN 0 ELSE 0.7::DOUBLE * len(list_distinct(list_transform(list_filter({_sql_words('content')}, lambda x: regexp_full_match(x, '\\p{{L}}+')), lambda x: lower(x)))) / len({_sql_words('content')})
+ + CASE WHEN len(s) > 1 THEN 0.3::DOUBLE * least(1.0, list_stddev_pop(s) / (list_avg(s) + 1e-6)) ELSE 0 END END"""
+
+
+@query(f"""WITH RECURSIVE {_PACK}, {_EDGES}, w AS (SELECT doc_id, chunk_id, content, list_transform(list_filter(list_transform(string_split_regex(content, '[。！？；]'), lambda x: {_sql_strip('x')}), lambda x: length(x) > 5), lambda x: len({_sql_words('x')})) AS s FROM ch),
+m AS (SELECT doc_id, count(*) AS n_chunks, avg({_SQL_COMPLETE}) AS completeness, avg({_SQL_DENSITY}) AS density, max(length(content))::DOUBLE / (min(length(content)) + 1) AS spread,
+  CASE WHEN count(*) < 2 THEN 1.0 WHEN avg(length(content)) = 0 THEN 0.0 ELSE greatest(0.0, 1 - stddev_pop(length(content)) / avg(length(content))) END AS balance FROM w GROUP BY doc_id),
+b AS (SELECT m.*, coalesce(e.b, 1.0) AS boundary FROM m LEFT JOIN (SELECT doc_id, avg(score) AS b FROM edges GROUP BY 1) e USING (doc_id)),
+o AS (SELECT *, 0.3::DOUBLE * 0.75 + 0.25::DOUBLE * completeness + 0.15::DOUBLE * balance + 0.15::DOUBLE * density + 0.15::DOUBLE * boundary AS overall FROM b)
+SELECT doc_id, n_chunks, round(completeness, 5) AS completeness, round(balance, 5) AS balance, round(density, 5) AS density, round(boundary, 5) AS boundary, round(overall, 5) AS overall,
+  list_filter([CASE WHEN completeness < 0.7 THEN '{Q.ADVICE["completeness"]}' END, CASE WHEN balance < 0.6 AND spread > 3 THEN '{Q.ADVICE["balance"]}' END, CASE WHEN density < 0.4 THEN '{Q.ADVICE["density"]}' END,
+   CASE WHEN boundary < 0.6 THEN '{Q.ADVICE["boundary"]}' END, CASE WHEN overall < 0.5 THEN '{Q.ADVICE["poor"]}' WHEN overall > 0.8 THEN '{Q.ADVICE["good"]}' END], lambda x: x IS NOT NULL) AS suggestions FROM o""")
 def quality_evaluation(spark, sf):
-    return Q.evaluate(_chunks(spark, sf).withColumn("coherence_score", Q.inner_coherence(F.col("content"))))
+    """All measures of the size-packed chunks, with one coherence for all."""
+    e = Q.evaluate(_chunks(spark, sf).withColumn("coherence_score", F.lit(0.75)))
+    short = {"avg_completeness": "completeness", "length_balance": "balance", "avg_semantic_density": "density", "boundary_quality": "boundary", "overall_score": "overall"}
+    return e.select("doc_id", "n_chunks", *[F.round(k, 5).alias(v) for k, v in short.items()], "suggestions")
+
+
+@query()
+def inner_coherence(spark, sf):
+    text = F.regexp_replace("content", "[.]", "。")
+    return _chunks(spark, sf).select("doc_id", "chunk_id", F.round(Q.inner_coherence(text), 6).alias("coherence"))
 
 
 @query()
@@ -305,16 +326,12 @@ def chunking_statistics(spark, sf):
     return s.select(*[F.round(c, 6).alias(c) if c.startswith(("avg", "std")) else c for c in s.columns])
 
 
-@query(r"""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS pos FROM documents WHERE lang = 'en'),
-c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE length(word) > 3 GROUP BY 1, 2)
-SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first)::INT AS rank FROM c QUALIFY rank <= 10""")
+@query(f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\\p{{L}}+'), lambda w: length(w) > 1 AND NOT list_contains({P.STOP_EN}, w)) AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS phrase, generate_subscripts(ws, 1) AS pos FROM w), c AS (SELECT doc_id, phrase, count(*) AS n, min(pos) AS first FROM u GROUP BY 1, 2)
+SELECT doc_id, phrase, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first)::INT AS rank FROM c QUALIFY rank <= 10""")
 def key_phrases(spark, sf):
-    docs = _table(spark, sf, "documents").filter("lang = 'en'")
-    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("pos", "word")).filter(F.length("word") > 3)
-    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    return counts.withColumn("rank", rank).filter("rank <= 10").select("doc_id", "word", "n", "rank")
+    return P.key_phrases(_docs(spark, sf))
 
 
 def _talks(spark, sf):

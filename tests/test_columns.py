@@ -178,3 +178,29 @@ def test_facade_sinks_and_stream(spark, folder, tmp_path_factory):
     stream_chunks(stream, f"{where}/s", f"{where}/c", cfg).awaitTermination(120)
     assert spark.read.parquet(f"{where}/s").select("doc_id").distinct().count() == 2
     assert health(2, 10)["status"] == "unhealthy" and health(0, 0)["status"] == "healthy"
+
+
+def test_embedding_cache(spark, tmp_path_factory):
+    from datetime import datetime, timedelta, timezone
+
+    from quernstone.functions.cache import EmbeddingCache
+
+    now = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    cache = EmbeddingCache(spark, str(tmp_path_factory.mktemp("cache")), max_size=3, ttl_seconds=60)
+    ask = lambda rows, at: {r.c: r.embedding for r in cache.embed(spark.createDataFrame([(t,) for t in rows], "c string"), "c", now=at).collect()}
+    first = ask(["alpha", "beta", "alpha", None], now)
+    assert set(first) == {"alpha", "beta", None} and first[None] is None and (cache.hits, cache.misses) == (0, 2)
+    assert ask(["beta", "gamma"], now + timedelta(seconds=30))["beta"] == first["beta"] and (cache.hits, cache.misses) == (1, 3)
+    ask(["delta"], now + timedelta(seconds=40))
+    assert {r.text for r in cache.table(now + timedelta(seconds=41)).collect()} == {"beta", "gamma", "delta"}
+    assert {r.text for r in cache.table(now + timedelta(seconds=75)).collect()} == {"gamma", "delta"}
+    cache.clear()
+    assert cache.stats()["size"] == 0
+
+
+def test_key_phrases(spark):
+    from quernstone.operators.phrases import key_phrases
+
+    docs = spark.createDataFrame([(1, "The cat, the dog and cat. Dog bird"), (2, "语义切片，语义检索的语义")], "doc_id long, text string")
+    assert [(r.phrase, r.n) for r in key_phrases(docs.filter("doc_id = 1"), 2).orderBy("rank").collect()] == [("cat", 2), ("dog", 2)]
+    assert [(r.phrase, r.n) for r in key_phrases(docs.filter("doc_id = 2"), 1, "zh").collect()] == [("语义", 3)]
