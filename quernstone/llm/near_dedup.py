@@ -5,9 +5,10 @@ give candidates; a Jaccard estimate from the registers, corrected for chance col
 what is clearly too far apart; the rest is confirmed on full shingle sets.
 
 Documents with equal shingle sets are one class. The first round links each class of a bucket with the bucket's
-smallest; later rounds look only at buckets that still hold several components and compare members across components:
-first each with its best partner, then all whose estimate allows a link. So a large group of near copies costs about a
-pair per member, and no link that decides a component is left out.
+smallest. The second looks only at buckets that still hold several components: their members meet in groups of bounded
+size, those of different components whose estimate allows a link are compared in place, and a link found joins their
+components, so that what is joined isn't compared again. No pair but a link leaves a group, and none that decides a
+component is left out.
 """
 
 from __future__ import annotations
@@ -168,62 +169,6 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["u"].filter(pa.array(ok)), part["v"].filter(pa.array(ok))], names=["u", "v"])
 
 
-def _group_pairs(band: int, side: np.ndarray, ids, comp, n, dense, there, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one group across components whose estimate allows a link and whose first common band this is."""
-    us, vs = [], []
-    for i in range(len(ids) - 1):
-        j = np.arange(i + 1, len(ids))
-        j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] < 0))]
-        if not len(j):
-            continue
-        est, ok = may_link(dense[i], there[i], n[i], dense[j], there[j], n[j])
-        j, est = j[ok], est[ok]
-        if len(j):
-            alike = (dense[i].reshape(BANDS, ROWS) == dense[j].reshape(-1, BANDS, ROWS)).all(axis=2)
-            first = alike.argmax(axis=1) == band
-            j, est = j[first], est[first]
-        if best and len(j):
-            j = j[[est.argmax()]]
-        us += [np.full(len(j), ids[i])]
-        vs += [ids[j]]
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *us]), np.concatenate([none, *vs])
-
-
-def _across(best: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "c1", "c2", "side", "id", "comp", "n", "dense", "there"]
-        held: list[pa.RecordBatch] = []
-
-        def pairs(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            key, c1, c2, side, ids, comp, n = (t[x].to_numpy() for x in names[:7])
-            dense, there = _rows(t["dense"], REGISTERS), _there(t["there"])
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in zip(starts, [*starts[1:], len(key)]):
-                u, v = _group_pairs(int(key[a]) >> 40, side[a:b], ids[a:b], comp[a:b], n[a:b], dense[a:b], there[a:b], best)
-                us.append(u)
-                vs.append(v)
-            u, v = np.concatenate(us), np.concatenate(vs)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-        for batch in batches:  # sorted by group; the last group of a batch may go on in the next
-            last = tuple(batch[x][-1].as_py() for x in names[:3]) if batch.num_rows else None
-            if last is None:
-                continue
-            same = np.logical_and.reduce([batch[x].to_numpy() == y for x, y in zip(names[:3], last)])
-            cut = int(same.argmax())
-            if cut:
-                yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield pairs(pa.Table.from_batches(held))
-
-    return run
-
-
 class _Sets:
     """Shingle sets of the last few texts."""
 
@@ -238,17 +183,69 @@ class _Sets:
         return self.sets[key]
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets = _Sets()
     for batch in batches:
-        ok = []
-        for u, v, tu, tv in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), batch["text1"], batch["text2"]):
-            a, b = sets(u, tu.as_py()), sets(v, tv.as_py())
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            ok.append(both > 0 and DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both))
+        ok = [_linked(sets(u, tu.as_py()), sets(v, tv.as_py())) for u, v, tu, tv in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), batch["text1"], batch["text2"])]
         yield pa.RecordBatch.from_arrays([batch["u"].filter(pa.array(ok, pa.bool_())), batch["v"].filter(pa.array(ok, pa.bool_()))], names=["u", "v"])
 
 
+def _group_links(t: pa.Table) -> list[tuple[int, int]]:
+    """Links across components in one group, of pairs whose first common band is the group's."""
+    band = t["key"][0].as_py() >> 40
+    side, ids, comp, n = (t[x].to_numpy().copy() for x in ("side", "id", "comp", "n"))
+    dense, there, sets, out = _rows(t["dense"], REGISTERS), _there(t["there"]), {}, []
+
+    def own(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingles((t["text"][k].as_py() or "").encode())
+        return sets[k]
+
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, len(ids))
+        j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] < 0))]
+        if not len(j):
+            continue
+        j = j[may_link(dense[i], there[i], n[i], dense[j], there[j], n[j])[1]]
+        alike = (dense[i].reshape(BANDS, ROWS) == dense[j].reshape(-1, BANDS, ROWS)).all(axis=2)
+        for k in j[alike.argmax(axis=1) == band].tolist():
+            if comp[k] != comp[i] and _linked(own(i), own(k)):
+                out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                comp[comp == comp[k]] = comp[i]
+    return out
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of groups; rows come sorted by group, and the last group of a batch may go on in the next."""
+    held: list[pa.RecordBatch] = []
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        key, c1, c2 = (t[x].to_numpy() for x in ("key", "c1", "c2"))
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
+        out = [x for a, b in zip(starts, [*starts[1:], len(key)]) for x in _group_links(t.slice(a, b - a))]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch[x].to_numpy() == batch[x][-1].as_py() for x in ("key", "c1", "c2")]
+        cut = int(np.logical_and.reduce(last).argmax())
+        if held and (cut or any(held[-1][x][-1].as_py() != batch[x][-1].as_py() for x in ("key", "c1", "c2"))):
+            yield links(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        elif cut:
+            yield links(pa.Table.from_batches([batch.slice(0, cut)]))
+        held.append(batch.slice(cut))
+    if held:
+        yield links(pa.Table.from_batches(held))
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     first = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text1")), "u")
     return first.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text2")), "v").mapInArrow(_confirmed, "u long, v long")
@@ -261,8 +258,8 @@ def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_estimated, "u long, v long")
 
 
-def _mixed(members: DataFrame, found: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
-    """Candidate pairs across components in buckets of three or more that hold several components."""
+def _mixed(members: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components in buckets of three or more that hold several components."""
     comp = F.coalesce(F.col("component"), F.col("id")).alias("comp")
     known = members.join(found, "id", "left").select("key", "size", "id", comp)
     several = known.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
@@ -273,9 +270,9 @@ def _mixed(members: DataFrame, found: DataFrame, reps: DataFrame, best: bool) ->
         "key", F.least("c", "other").alias("c1"), F.greatest("c", "other").alias("c2"),
         F.when(F.col("c") == F.col("other"), F.lit(-1)).otherwise(F.col("c")).alias("side"), "id", "comp",
     )
-    rows = rows.join(reps.select("id", "n", "dense", "there"), "id")
+    rows = rows.join(reps.select("id", "n", "dense", "there").join(texts, "id"), "id")
     dealt = rows.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "id")
-    return dealt.select("key", "c1", "c2", "side", "id", "comp", "n", "dense", "there").mapInArrow(_across(best), "u long, v long").distinct()
+    return dealt.select("key", "c1", "c2", "side", "id", "comp", "n", "dense", "there", "text").mapInArrow(_across, "u long, v long").distinct()
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -305,14 +302,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     release(spark)
     found = components(links)
     large = members.filter("size > 2").select("key", "size", "id")
-    for best in (True, False):
-        more = written(_mixed(large, found, reps, best), "candidates")
-        links = written(links.unionByName(_confirm(more, texts)), "links")
-        release(spark)
-        found = components(links)
+    links = written(links.unionByName(_mixed(large, found, reps, texts)), "links")
+    release(spark)
+    found = components(links)
 
     own = sketches.join(classes, ["lo", "hi"], "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
-    out = own.join(found, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = own.join(found, "id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
