@@ -180,6 +180,15 @@ def positions(chunks: DataFrame, language: str) -> DataFrame:
     return chunks.select("doc_id", "chunk_id", (end - size).alias("start_pos"), end.alias("end_pos"), clean.alias("content"), T.token_estimate(clean, language).alias("token_count"))
 
 
+def attach_metadata(chunks: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """Chunks with attributes of their documents in ``metadata``, as text; an equi-join whose small side Spark sends out if it can."""
+    pairs = [y for c in columns for y in (F.lit(c), F.col(c).cast("string"))]
+    more = docs.select(F.col("doc_id").alias("_q_id"), F.create_map(*pairs).alias("_q_more"))
+    joined = chunks.join(more, F.col("doc_id") == F.col("_q_id"), "left")
+    every = F.map_from_entries(F.concat(F.map_entries(F.map_filter("metadata", lambda k, v: ~k.isin(*columns))), F.map_entries("_q_more")))
+    return joined.withColumn("metadata", F.coalesce(every, F.col("metadata"))).drop("_q_id", "_q_more")
+
+
 def assign_chunks(df: DataFrame, cfg: ChunkConfig) -> DataFrame:
     """(doc_id, pos, chunk_id) of ordered elements (doc_id, pos, size, embedding) packed by size and mean cosine, without overlap."""
 

@@ -104,12 +104,45 @@ def match_key(c: Column) -> Column:
     return T.collapse(F.when(c.contains("\n"), c).otherwise(F.regexp_replace(c, r"^#{1,6}\s+", "")))
 
 
+def _occurrence_join(asked: DataFrame, there: DataFrame, asked_key: Column, there_key: Column) -> DataFrame:
+    """``asked`` with matched, the index of the k-th row of ``there`` with the key for the k-th row that asks for it; null if none."""
+    nth = lambda df, key, by: df.withColumn("_q_key", key).withColumn("_q_nth", F.row_number().over(Window.partitionBy("doc_id", "_q_key").orderBy(by)))
+    own = nth(there, there_key, "index").select("doc_id", "_q_key", "_q_nth", F.col("index").alias("matched"))
+    return nth(asked, asked_key, "pos").join(own, ["doc_id", "_q_key", "_q_nth"], "left").drop("_q_key", "_q_nth")
+
+
 def matched(asked: DataFrame, there: DataFrame) -> DataFrame:
-    """``asked`` (doc_id, pos, content) with matched, the index of the k-th row of ``there`` (doc_id, index, content)
-    of the same key for the k-th row that asks for it; -1 where none is left."""
-    nth = lambda df, by: df.withColumn("key", match_key(F.col("content"))).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(by)))
-    own = nth(there, "index").select("doc_id", "key", "nth", F.col("index").alias("matched"))
-    return nth(asked, "pos").join(own, ["doc_id", "key", "nth"], "left").select("doc_id", "pos", "content", F.coalesce("matched", F.lit(-1)).alias("matched"))
+    """``asked`` (doc_id, pos, content) with matched, the index of the paragraph of ``there`` (doc_id, index, content)
+    with the same key; each is taken once, in order, and -1 stands where none is left."""
+    key = match_key(F.col("content"))
+    return _occurrence_join(asked, there, key, key).select("doc_id", "pos", "content", F.coalesce("matched", F.lit(-1)).alias("matched"))
+
+
+def _rest(asked: DataFrame, there: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What of both sides isn't matched yet."""
+    taken = found.filter("matched IS NOT NULL").select("doc_id", F.col("matched").alias("index"))
+    return found.filter("matched IS NULL").drop("matched"), there.join(taken, ["doc_id", "index"], "left_anti")
+
+
+def matched_tables(asked: DataFrame, there: DataFrame) -> DataFrame:
+    """``asked`` (doc_id, pos, content) with the index of the table of ``there`` (doc_id, index, content) with the same
+    lines, else of the first table left, else -1."""
+    key = F.array_join(F.filter(F.transform(F.split("content", "\n", -1), T.collapse), lambda x: x != ""), "\n")
+    first = _occurrence_join(asked, there, key, key)
+    left, free = _rest(asked, there, first)
+    second = _occurrence_join(left, free, F.lit(0), F.lit(0))
+    both = first.filter("matched IS NOT NULL").unionByName(second)
+    return both.select("doc_id", "pos", F.coalesce("matched", F.lit(-1)).alias("matched"))
+
+
+def matched_images(asked: DataFrame, there: DataFrame) -> DataFrame:
+    """``asked`` (doc_id, pos, url, alt) with the index of the image of ``there`` (doc_id, index, url, filename) with
+    the url, else of one whose file name is the alt text, else -1."""
+    first = _occurrence_join(asked, there, F.col("url"), F.col("url"))
+    left, free = _rest(asked, there, first)
+    second = _occurrence_join(left, free, F.col("alt"), F.col("filename"))
+    both = first.filter("matched IS NOT NULL").unionByName(second)
+    return both.select("doc_id", "pos", F.coalesce("matched", F.lit(-1)).alias("matched"))
 
 
 def elements(docs: DataFrame, least: int = 10, language: str = "zh") -> DataFrame:

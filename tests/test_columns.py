@@ -204,3 +204,18 @@ def test_key_phrases(spark):
     docs = spark.createDataFrame([(1, "The cat, the dog and cat. Dog bird"), (2, "语义切片，语义检索的语义")], "doc_id long, text string")
     assert [(r.phrase, r.n) for r in key_phrases(docs.filter("doc_id = 1"), 2).orderBy("rank").collect()] == [("cat", 2), ("dog", 2)]
     assert [(r.phrase, r.n) for r in key_phrases(docs.filter("doc_id = 2"), 1, "zh").collect()] == [("语义", 3)]
+
+
+def test_tables_and_images_are_matched(spark):
+    asked = spark.createDataFrame([(1, 0, "| a |\n| 1 |"), (1, 1, "| z |"), (1, 2, "| y |")], "doc_id long, pos int, content string")
+    there = spark.createDataFrame([(1, 7, "|  b |"), (1, 8, "| a |\n\n| 1  |")], "doc_id long, index int, content string")
+    assert [r.matched for r in markdown.matched_tables(asked, there).orderBy("pos").collect()] == [8, 7, -1]
+    asked = spark.createDataFrame([(1, 0, "u", "x"), (1, 1, "v", "f.png"), (1, 2, "w", "x")], "doc_id long, pos int, url string, alt string")
+    there = spark.createDataFrame([(1, 3, "q", "f.png"), (1, 4, "u", "g.png")], "doc_id long, index int, url string, filename string")
+    assert [r.matched for r in markdown.matched_images(asked, there).orderBy("pos").collect()] == [4, 3, -1]
+
+
+def test_document_metadata(spark):
+    docs = spark.createDataFrame([(1, "some text that is long enough", "web", 3)], "doc_id long, text string, source string, level int")
+    out = chunks.attach_metadata(chunks.chunk_documents(docs), docs, "source", "level").collect()
+    assert out and all(r.metadata["source"] == "web" and r.metadata["level"] == "3" for r in out)
