@@ -107,9 +107,10 @@ def classify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     hosts = written(hosts, "hosts")
     domains = _above(hosts, "domain", ["tld", "domain"], "host", k)
     tlds = _above(domains, "tld", ["tld"], "domain", k)
-    everything = _above(tlds, "all", [], "tld", k)
-    chain = hosts.join(domains, ["tld", "domain"]).join(tlds, "tld").crossJoin(F.broadcast(everything))
+    every = _above(tlds, "all", [], "tld", k).first()
+    chain = hosts.join(domains, ["tld", "domain"]).join(tlds, "tld")
     known = own.join(chain, ["tld", "domain", "host"])
+    known = known.withColumns({"n_all": F.lit(every["n_all"] or 0), "c_all": F.array(*[F.lit(float(x or 0)) for x in every["c_all"]])})
     prior = F.array(*[F.lit(1.0 / k)] * k)
     for level in ("all", "tld", "domain", "host"):
         prior = _smoothed(level, prior)

@@ -57,7 +57,8 @@ def _copies(seed: str) -> Column:
 
 def copies(rows: DataFrame, sizes: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """``rows`` (doc_id, source and more) with source_size, target and copies; ``sizes``: all rows' (source, size)."""
-    targets = source_targets(sizes, **how).withColumnRenamed("source", "_q_source")
+    # written, so that its size is known: sent to all tasks if small, else both sides are sorted
+    targets = written(source_targets(sizes, **how).withColumnRenamed("source", "_q_source"), "targets")
     joined = rows.join(targets, F.col("source").eqNullSafe(F.col("_q_source"))).drop("_q_source")
     return joined.withColumn("copies", _copies(seed))
 

@@ -169,8 +169,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, block
 
 def _flat(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """All vectors are empty and score 0: the smallest k + 1 ids are enough for every query."""
-    least = candidates.select("vec_id").orderBy("vec_id").limit(k + 1)
-    near = queries.select(F.col("vec_id").alias("query_id")).join(F.broadcast(least.agg(F.sort_array(F.collect_list("vec_id")).alias("all"))), F.lit(True))
+    least = sorted(r["vec_id"] for r in candidates.select("vec_id").orderBy("vec_id").limit(k + 1).collect())
+    near = queries.select(F.col("vec_id").alias("query_id"), F.array(*map(F.lit, least)).cast("array<long>").alias("all"))
     own = near.select("query_id", F.posexplode(F.slice(F.filter("all", lambda x: x != F.col("query_id")), 1, k)).alias("rank", "vec_id"))
     return own.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
 
