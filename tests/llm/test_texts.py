@@ -26,7 +26,7 @@ def test_token_counts(docs, block):
     for i, t in enumerate(ODD):
         n = len(tok.encode(t or "", add_special_tokens=False).ids)
         want.append((None if i == 3 else i, len((t or "").encode()), n, n > 512))
-    got = token_counts.token_counts(docs, block=block).collect()
+    got = token_counts.token_counts(docs, block=block, part=20_000).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(want)
 
 
