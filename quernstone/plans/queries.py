@@ -297,14 +297,14 @@ m AS (SELECT doc_id, count(*) AS n_chunks, avg({_SQL_COMPLETE}) AS completeness,
   CASE WHEN count(*) < 2 THEN 1.0 WHEN avg(length(content)) = 0 THEN 0.0 ELSE greatest(0.0, 1 - stddev_pop(length(content)) / avg(length(content))) END AS balance FROM w GROUP BY doc_id),
 b AS (SELECT m.*, coalesce(e.b, 1.0) AS boundary FROM m LEFT JOIN (SELECT doc_id, avg(score) AS b FROM edges GROUP BY 1) e USING (doc_id)),
 o AS (SELECT *, 0.3::DOUBLE * 0.75 + 0.25::DOUBLE * completeness + 0.15::DOUBLE * balance + 0.15::DOUBLE * density + 0.15::DOUBLE * boundary AS overall FROM b)
-SELECT doc_id, n_chunks, round(completeness, 5) AS completeness, round(balance, 5) AS balance, round(density, 5) AS density, round(boundary, 5) AS boundary, round(overall, 5) AS overall,
+SELECT doc_id, n_chunks, round(completeness + 1e-9, 5) AS completeness, round(balance + 1e-9, 5) AS balance, round(density + 1e-9, 5) AS density, round(boundary + 1e-9, 5) AS boundary, round(overall + 1e-9, 5) AS overall,
   list_filter([CASE WHEN completeness < 0.7 THEN '{Q.ADVICE["completeness"]}' END, CASE WHEN balance < 0.6 AND spread > 3 THEN '{Q.ADVICE["balance"]}' END, CASE WHEN density < 0.4 THEN '{Q.ADVICE["density"]}' END,
    CASE WHEN boundary < 0.6 THEN '{Q.ADVICE["boundary"]}' END, CASE WHEN overall < 0.5 THEN '{Q.ADVICE["poor"]}' WHEN overall > 0.8 THEN '{Q.ADVICE["good"]}' END], lambda x: x IS NOT NULL) AS suggestions FROM o""")
 def quality_evaluation(spark, sf):
     """All measures of the size-packed chunks, with one coherence for all."""
     e = Q.evaluate(_chunks(spark, sf).withColumn("coherence_score", F.lit(0.75)))
     short = {"avg_completeness": "completeness", "length_balance": "balance", "avg_semantic_density": "density", "boundary_quality": "boundary", "overall_score": "overall"}
-    return e.select("doc_id", "n_chunks", *[F.round(k, 5).alias(v) for k, v in short.items()], "suggestions")
+    return e.select("doc_id", "n_chunks", *[F.round(F.col(k) + 1e-9, 5).alias(v) for k, v in short.items()], "suggestions")
 
 
 @query()
