@@ -29,7 +29,7 @@ LENGTH, GRAM = 50, 16
 RUN = LENGTH - GRAM + 1
 PAD = -(-(RUN - 1 + LENGTH) // 8) * 8
 #: Bytes of text in a block of documents, in a part (by share of least hashes) and in a step of hashing.
-BLOCK, PART, STEP = 8_000_000, 5_000_000, 1_000_000
+BLOCK, PART, STEP = 8_000_000, 2_500_000, 1_000_000
 
 _LAST = 2**63 - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -79,7 +79,7 @@ def runs(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
             k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             begin = np.repeat(first, pieces) + k * RUN
             size = np.minimum(np.repeat(size, pieces) - k * RUN, RUN)
-            for a, x in zip(out, (v[begin], o[begin], at[begin] + lo, size)):
+            for a, x in zip(out, (v[begin] * _M1, o[begin], at[begin] + lo, size)):  # least hashes are small: spread them again
                 a.append(x)
         d = e
     return tuple(np.concatenate(x) for x in out)
@@ -112,10 +112,9 @@ def _hashes(parts: int):
 
     def run(t: pa.Table) -> pa.Table:
         *_, distinct, part, _, _ = Block(t).keys(parts)
-        cut = np.searchsorted(part, np.arange(parts + 1))
         five = (distinct & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
-        full = np.flatnonzero(np.diff(cut))
-        return pa.table({"part": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), t["block"][0].as_py()), pa.int64()), "h": pa.array([five[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())})
+        full, cut = np.unique(part, return_index=True)
+        return pa.table({"part": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), t["block"][0].as_py()), pa.int64()), "h": pa.array([x.tobytes() for x in np.split(five, cut[1:])][: len(full)], pa.binary())})
 
     return run
 
@@ -164,9 +163,8 @@ def _contexts(parts: int):
             return _KINDS.empty_table()
         block = Block(t)
         h, doc, at, size, distinct, part, shared, inverse = block.keys(parts)
-        cut = np.searchsorted(part, np.arange(parts + 1))
         for p, bits in zip(masks["part"].to_pylist(), masks["bits"]):
-            a, b = cut[p], cut[p + 1]
+            a, b = np.searchsorted(part, [p, p + 1])
             shared[a:b] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8))[: b - a].astype(bool)
         take = np.flatnonzero(shared[inverse])
         doc, at, size, part = doc[take], at[take], size[take], part[inverse[take]]
@@ -188,17 +186,18 @@ def _contexts(parts: int):
             r, a, b = _joined(doc[later], pos[later], pos[later] + size[later] + LENGTH - 1)
             add(-1, None, None, None, None, four(r), four(a), four(b))
         by_part = np.argsort(part[first], kind="stable")
-        edges = np.searchsorted(part[first][by_part], np.arange(parts + 1))
+        full, edges = np.unique(part[first][by_part], return_index=True)
+        edges = [*edges, len(first)]
         place = np.empty(len(first), np.int64)
         place[by_part] = np.arange(len(first))
         occ = np.flatnonzero(own)
         occ = occ[np.argsort(place[ctx[occ]], kind="stable")]
         where = place[ctx[occ]]
-        for p in np.flatnonzero(np.diff(edges)):
-            f = first[by_part[edges[p] : edges[p + 1]]]
-            o = occ[np.searchsorted(where, edges[p]) : np.searchsorted(where, edges[p + 1])]
+        for p, a, b in zip(full.tolist(), edges, edges[1:]):
+            f = first[by_part[a:b]]
+            o = occ[np.searchsorted(where, a) : np.searchsorted(where, b)]
             inside = np.arange(PAD) < (size[f] + LENGTH - 1)[:, None]
-            add(p, block.ids[doc[f]].tobytes(), size[f].astype(np.uint8).tobytes(), squeeze(m[f][inside].tobytes()), four(place[ctx[o]] - edges[p]), four(doc[o]), four(pos[o]), None)
+            add(p, block.ids[doc[f]].tobytes(), size[f].astype(np.uint8).tobytes(), squeeze(m[f][inside].tobytes()), four(place[ctx[o]] - a), four(doc[o]), four(pos[o]), None)
         return pa.table(rows, _KINDS)
 
     return run
@@ -213,6 +212,12 @@ def _joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return doc[new], a[new], far[np.r_[new[1:] - 1, len(doc) - 1]] if len(doc) else b
 
 
+def _group_starts(changes: np.ndarray) -> np.ndarray:
+    """For each item the index at which its group starts, from whether each item but the first differs from the last."""
+    starts = np.r_[0, np.flatnonzero(changes) + 1]
+    return np.repeat(starts, np.diff(np.r_[starts, len(changes) + 1]))
+
+
 def bucket_pointers(text: np.ndarray, start: np.ndarray, size: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """For each position of the concatenated strings, the pointer to its bucket among suffixes equal for ``depth`` bytes.
 
@@ -225,8 +230,9 @@ def bucket_pointers(text: np.ndarray, start: np.ndarray, size: np.ndarray, depth
     if len(at):
         w = _words(np.concatenate([text, np.zeros(7, np.uint8)]))[at]
         o = np.argsort(w)
-        new = np.r_[True, w[o][1:] != w[o][:-1]]
-        pointer[at[o]] = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        w = w[o]
+        pointer[at[o]] = _group_starts(w[1:] != w[:-1])
+        del w, o
     reach = 8
     while reach < depth:
         step = min(reach, depth - reach)
@@ -236,13 +242,10 @@ def bucket_pointers(text: np.ndarray, start: np.ndarray, size: np.ndarray, depth
         key = pointer[several] << 32 | pointer[several + step]
         o = np.argsort(key)
         key = key[o]
-        i = np.arange(len(o))
-        new = np.r_[True, key[1:] != key[:-1]][: len(o)]
-        bucket = np.r_[True, key[1:] >> 32 != key[:-1] >> 32][: len(o)]
-        inside = np.maximum.accumulate(np.where(new, i, 0)) - np.maximum.accumulate(np.where(bucket, i, 0))
-        fresh = (key >> 32) + inside
         pointer[left < reach + step] = -1
-        pointer[several[o]] = fresh
+        if len(o):
+            inside = _group_starts(key[1:] != key[:-1]) - _group_starts(key[1:] >> 32 != key[:-1] >> 32)
+            pointer[several[o]] = (key >> 32) + inside
         reach += step
     return pointer
 
