@@ -106,8 +106,9 @@ def test_quality_edges(spark, docs):
     some = spark.createDataFrame([(i, i % 2, 0) for i in range(12)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality.quality_scores(docs, some).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    good = {r.doc_id for r in rows if r.predicted}
     kept = quality.keep_good(docs, some).collect()
-    assert collections.Counter(r.text for r in kept) == collections.Counter(t for t, r in zip(ODD, quality.quality_scores(docs, some).collect()) if r.predicted)
+    assert collections.Counter(r.doc_id for r in kept) == collections.Counter(r.doc_id for r in rows if r.doc_id in good)
 
 
 def test_isotonic():
