@@ -22,12 +22,12 @@ from quernstone.llm.common import table, written
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: Bytes of text in a block (at least one document).
-BLOCK = 24_000_000
+BLOCK = 8_000_000
 #: Code points that one Unicode version has as letters or numbers and another doesn't: the library itself cuts such texts.
 DISPUTED = "[՘֋֌࢏౜೜₏₝-₟꟎-꟱꭬꭭\U00010000-\U0010ffff]"
 
 #: Bytes of text that make a part of the pre-tokens.
-PART = 16_000_000
+PART = 4_000_000
 
 _BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, extra array<int>, sizes array<int>, entries binary, words array<struct<part:int,n:int,words:binary>>"
 _KINDS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("extra", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("entries", pa.binary()), ("words", pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])))])
@@ -64,6 +64,9 @@ def _unpacked_words(data: bytes, n: int) -> list[bytes]:
 
 
 def _load(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would keep memory of its own
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -152,7 +155,7 @@ def _pieces(path: str):
         place: dict[bytes, int] = {}
         asked = [[place.setdefault(w, len(place)) for w in _unpacked_words(x.as_py(), n)] for x, n in zip(t["words"], t["n"].to_pylist())]
         words = [w.decode() for w in place]
-        pieces = np.array([len(e) for i in range(0, len(words), 1000) for e in tok.encode_batch(words[i : i + 1000], add_special_tokens=False)], np.uint32)
+        pieces = np.array([len(e) for i in range(0, len(words), 1000) for e in tok.encode_batch_fast(words[i : i + 1000], add_special_tokens=False)], np.uint32)
         return pa.table({"block": t["block"], "part": t["part"], "pieces": pa.array([pieces[a].tobytes() for a in asked], pa.binary())})
 
     return run
