@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import written
+from quernstone.llm.common import discard, written
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -26,17 +26,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
+def _round(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The written edges, and their number and sum of hashes, taken while they are written."""
+    seen = Observation()
+    measures = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
+    now = written(edges.observe(seen, *measures), "edges")
+    return now, seen.get
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id that has an edge to a smaller one; component: the smallest id reachable.
 
     ``edges`` has u and v; loops and repeated edges don't matter. Each round is written, so a lost executor costs no
     earlier round; rounds grow with the logarithm of the longest path.
     """
-    now = written(edges.select("u", "v").filter("u <> v").distinct(), "edges")
+    now, state = _round(edges.select("u", "v").filter("u <> v").distinct())
     seen = None
-    while True:
-        now = written(_small_star(_large_star(now)), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen = tuple(state)
+    while state["n"] and state != seen:
+        last, seen = now, state
+        now, state = _round(_small_star(_large_star(last)))
+        discard(last)
+    out = now.withColumnsRenamed({"u": "id", "v": "component"})
+    out._quernstone_path = now._quernstone_path
+    return out

@@ -4,24 +4,27 @@ A register keeps the leading-zero count and a few mantissa bits of the least has
 give candidates; a Jaccard estimate from the registers, corrected for chance collisions of compressed values, drops
 what is clearly too far apart; the rest is confirmed on full shingle sets.
 
-Documents with equal shingle sets are one class. The first round links each class of a bucket with the bucket's
-smallest. The second looks only at buckets that still hold several components: their members meet in groups of bounded
-size, those of different components whose estimate allows a link are compared in place, and a link found joins their
-components, so that what is joined isn't compared again. No pair but a link leaves a group, and none that decides a
-component is left out.
+Documents with equal shingle sets are one class, a node of the graph. Three rounds find its links.
+1. Each node of a bucket is held against the bucket's smallest.
+2. Buckets that still hold several components: sketches alone meet in groups of bounded size. Of the pairs across
+   components whose estimate allows a link, each node puts forward its likeliest few; these are confirmed. Of the others
+   only their nodes are noted, so a group sends out no more than a few rows a node.
+3. Noted nodes of buckets that hold several components even now meet with their texts, in groups bounded by the size of
+   their sets. A link found joins components at once, so that what is joined isn't compared again.
+No pair that decides a component is left out, and texts travel only for what sketches couldn't settle.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import release, table, written
+from quernstone.llm.common import discard, release, table, trimmed, written
 from quernstone.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -31,8 +34,11 @@ REGISTERS = BANDS * ROWS
 MANTISSA, MOST_ZEROS, EMPTY = 4, 14, 255
 #: Standard errors under the threshold at which an estimate still passes.
 ERRORS = 5.0
-#: Members of a bucket that meet in one group at most; larger buckets are dealt as pairs of such chunks.
-CHUNK = 512
+#: Nodes of a bucket, and shingles of those that bring texts, in one chunk (about, at most); larger buckets are dealt as
+#: pairs of chunks.
+CHUNK, SHINGLES = 2048, 400_000
+#: Pairs that a node puts forward in a group.
+MOST = 2
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RNG = np.random.default_rng(10)
@@ -44,7 +50,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 50_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -118,7 +124,7 @@ def may_link(d1: np.ndarray, t1: np.ndarray, n1: np.ndarray, d2: np.ndarray, t2:
     return j, sizes & (j >= t - errors * np.sqrt(t * (1 - t) / np.maximum(either, 1)))
 
 
-_SKETCH = "doc_id long, n_shingles long, lo long, hi long, dense binary, there binary"
+_SKETCH = "doc_id long, h long, n_shingles long, lo long, hi long, dense binary, there binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +145,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hi.append(int(digest[1]))
             dense.append(d.tobytes())
             there.append(np.packbits(e).tobytes())
-        arrays = [batch["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(dense, pa.binary()), pa.array(there, pa.binary())]
+        arrays = [batch["doc_id"], batch["h"], pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(dense, pa.binary()), pa.array(there, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _SKETCH.split(", ")])
 
 
@@ -148,7 +154,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         d = np.frombuffer(b"".join(batch["dense"].to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
         keys = (d.astype(np.int64) @ power + band).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["id"].to_numpy(), BANDS)), pa.array(keys)], names=["id", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["node"].to_numpy(), BANDS)), pa.array(keys)], names=["node", "key"])
 
 
 def _rows(binary: pa.Array, width: int) -> np.ndarray:
@@ -195,127 +201,220 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["u"].filter(pa.array(ok, pa.bool_())), batch["v"].filter(pa.array(ok, pa.bool_()))], names=["u", "v"])
 
 
-def _group_links(t: pa.Table) -> list[tuple[int, int]]:
-    """Links across components in one group, of pairs whose first common band is the group's."""
+def _allowed(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each node of a group, the places and estimates of those it may be linked with, likeliest first.
+
+    Each pair comes once, from its smaller set, if its sides differ, the components it has at first do, and the group's
+    band is the first that it has in common.
+    """
     band = t["key"][0].as_py() >> 40
-    side, ids, comp, n = (t[x].to_numpy().copy() for x in ("side", "id", "comp", "n"))
-    dense, there, sets, out = _rows(t["dense"], REGISTERS), _there(t["there"]), {}, []
+    side, comp, n, node = (t[x].to_numpy() for x in ("side", "comp", "n", "node"))
+    dense, there = _rows(t["dense"], REGISTERS), _there(t["there"])
+    order = np.lexsort((node, n))
+    most = np.searchsorted(n[order], n[order] * DENOMINATOR // NUMERATOR, side="right")
+    for x, i in enumerate(order.tolist()):
+        j = order[x + 1 : most[x]]
+        j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] < 0))]
+        if not len(j):
+            continue
+        est, ok = may_link(dense[i], there[i], n[i], dense[j], there[j], n[j])
+        j, est = j[ok], est[ok]
+        first = (dense[i].reshape(BANDS, ROWS) == dense[j].reshape(-1, BANDS, ROWS)).all(axis=2).argmax(axis=1) == band
+        j, est = j[first], est[first]
+        o = np.lexsort((node[j], -est))
+        if len(o):
+            yield i, j[o], est[o]
+
+
+def _forward(most: int) -> Callable[[pa.Table], list[tuple]]:
+    def run(t: pa.Table) -> list[tuple[int, int, int | None]]:
+        """(key, u, v) of the pairs that nodes put forward, and (key, node, null) of the nodes in other pairs."""
+        key, node, out, noted = t["key"][0].as_py(), t["node"].to_numpy(), [], set()
+        for i, j, _ in _allowed(t):
+            out += [(key, *sorted((int(node[i]), int(node[k])))) for k in j[:most]]
+            if len(j) > most:
+                noted.update([i, *j[most:].tolist()])
+        return out + [(key, int(node[i]), None) for i in noted]
+
+    return run
+
+
+def _group_links(t: pa.Table) -> list[tuple[int, int, int]]:
+    """(key, u, v) of links across components in one group, whose nodes have their texts."""
+    key, node, comp, sets, out = t["key"][0].as_py(), t["node"].to_numpy(), t["comp"].to_numpy().copy(), {}, []
 
     def own(k: int) -> np.ndarray:
         if k not in sets:
             sets[k] = shingles((t["text"][k].as_py() or "").encode())
         return sets[k]
 
-    for i in range(len(ids) - 1):
-        j = np.arange(i + 1, len(ids))
-        j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] < 0))]
-        if not len(j):
-            continue
-        j = j[may_link(dense[i], there[i], n[i], dense[j], there[j], n[j])[1]]
-        alike = (dense[i].reshape(BANDS, ROWS) == dense[j].reshape(-1, BANDS, ROWS)).all(axis=2)
-        for k in j[alike.argmax(axis=1) == band].tolist():
+    for i, j, _ in _allowed(t):
+        for k in j.tolist():
             if comp[k] != comp[i] and _linked(own(i), own(k)):
-                out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                out.append((key, min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k]))))
                 comp[comp == comp[k]] = comp[i]
     return out
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of groups; rows come sorted by group, and the last group of a batch may go on in the next."""
-    held: list[pa.RecordBatch] = []
+_DEALT = ("key", "c1", "c2")
+
+
+def _grouped(function: Callable[[pa.Table], list[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` on each group; rows come sorted by group, and the last group of a batch may go on in the next."""
 
-    def links(t: pa.Table) -> pa.RecordBatch:
+    def found(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        key, c1, c2 = (t[x].to_numpy() for x in ("key", "c1", "c2"))
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
-        out = [x for a, b in zip(starts, [*starts[1:], len(key)]) for x in _group_links(t.slice(a, b - a))]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
+        columns = [t[x].to_numpy() for x in _DEALT]
+        starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+        out = [x for a, b in zip(starts, [*starts[1:], t.num_rows]) for x in function(t.slice(a, b - a))]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["key", "u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch[x].to_numpy() == batch[x][-1].as_py() for x in _DEALT]
+            cut = int(np.logical_and.reduce(last).argmax())
+            if held and (cut or any(held[-1][x][-1].as_py() != batch[x][-1].as_py() for x in _DEALT)):
+                yield found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield found(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield found(pa.Table.from_batches(held))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = [batch[x].to_numpy() == batch[x][-1].as_py() for x in ("key", "c1", "c2")]
-        cut = int(np.logical_and.reduce(last).argmax())
-        if held and (cut or any(held[-1][x][-1].as_py() != batch[x][-1].as_py() for x in ("key", "c1", "c2"))):
-            yield links(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held = []
-        elif cut:
-            yield links(pa.Table.from_batches([batch.slice(0, cut)]))
-        held.append(batch.slice(cut))
-    if held:
-        yield links(pa.Table.from_batches(held))
+    return run
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    first = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text1")), "u")
-    return first.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text2")), "v").mapInArrow(_confirmed, "u long, v long")
+    first = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text1")), "u")
+    return first.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text2")), "v").mapInArrow(trimmed(_confirmed), "u long, v long")
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     for side, s in (("u", "1"), ("v", "2")):
-        own = reps.select(F.col("id").alias(side), F.col("dense").alias(f"dense{s}"), F.col("there").alias(f"there{s}"), F.col("n").alias(f"n{s}"))
+        own = reps.select(F.col("node").alias(side), F.col("dense").alias(f"dense{s}"), F.col("there").alias(f"there{s}"), F.col("n").alias(f"n{s}"))
         pairs = pairs.join(own, side)
-    return pairs.mapInArrow(_estimated, "u long, v long")
+    return pairs.mapInArrow(trimmed(_estimated), "u long, v long")
 
 
-def _mixed(members: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links across components in buckets of three or more that hold several components."""
-    comp = F.coalesce(F.col("component"), F.col("id")).alias("comp")
-    known = members.join(found, "id", "left").select("key", "size", "id", comp)
+def _several(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, comp) of ``members`` (key, node) in buckets of several components."""
+    known = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     several = known.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    rows = known.join(several, "key").withColumn("c", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.select(
-        "key", F.least("c", "other").alias("c1"), F.greatest("c", "other").alias("c2"),
-        F.when(F.col("c") == F.col("other"), F.lit(-1)).otherwise(F.col("c")).alias("side"), "id", "comp",
-    )
-    rows = rows.join(reps.select("id", "n", "dense", "there").join(texts, "id"), "id")
-    dealt = rows.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "id")
-    return dealt.select("key", "c1", "c2", "side", "id", "comp", "n", "dense", "there", "text").mapInArrow(_across, "u long, v long").distinct()
+    return known.join(several, "key")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+def _dealt(members: DataFrame, chunks: DataFrame, of: DataFrame) -> DataFrame:
+    """Members in chunks of their bucket, each once per pair of chunks, with the columns of ``of``, sorted by group.
 
-    Two documents are linked when 100 * shared shingles >= 75 * all shingles of both. A null or empty text and one of
-    white space only have no shingles and no links. A null doc_id has no links either: its component is null and it is
-    kept. Rows that share a doc_id but not their text keep the component of their own text. Other columns aren't read. An empty table
-    gives an empty one.
+    ``chunks`` has each bucket's number of chunks.
     """
-    spark = docs.sparkSession
-    sketches = written(docs.select("doc_id", "text").mapInArrow(_sketch, _SKETCH), "sketches")
-    named = sketches.filter(F.col("lo").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(named.groupBy("lo", "hi").agg(F.min("doc_id").alias("id")), "classes")
-    heads = named.join(classes.select("id", F.col("lo").alias("l"), F.col("hi").alias("h")), (F.col("doc_id") == F.col("id")) & (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h")))
-    head = F.min(F.struct("lo", F.col("n_shingles").alias("n"), "dense", "there")).alias("head")
-    reps = written(heads.groupBy("id").agg(head).select("id", "head.n", "head.dense", "head.there"), "representatives")
+    rows = members.join(chunks, "key").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
+    side = F.when(F.col("c") == F.col("other"), F.lit(-1)).otherwise(F.col("c")).alias("side")
+    rows = rows.select("key", F.least("c", "other").alias("c1"), F.greatest("c", "other").alias("c2"), side, "node", "comp").join(of, "node")
+    return rows.repartition(*_DEALT).sortWithinPartitions(*_DEALT, "node")
+
 
-    bands = heads.select("id", "dense").mapInArrow(_bands, "id long, key long")
-    shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("leader")).filter("size > 1")
+def _links(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], spark: SparkSession) -> DataFrame:
+    """The components (id, component) of nodes; ``texts_of`` gives (node, text) of nodes."""
+    bands = reps.select("node", "dense").mapInArrow(trimmed(_bands), "node long, key long")
+    shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
     members = written(bands.join(shared, "key"), "members")
     release(spark)
-    near = members.select("id").distinct()
-    texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(near, "id", "left_semi").dropDuplicates(), "texts")
-    star = members.filter("id > leader").select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct()
+    texts = written(texts_of(members.select("node").distinct()), "texts")
+    star = members.filter("node > leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
     links = written(_confirm(_estimate(star, reps), texts), "links")
     release(spark)
     found = components(links)
-    large = members.filter("size > 2").select("key", "size", "id")
-    links = written(links.unionByName(_mixed(large, found, reps, texts)), "links")
+
+    sketches = reps.select("node", "n", "dense", "there")
+    open_members = written(_several(members.filter("size > 2").select("key", "node"), found), "open")
+    if open_members.isEmpty():
+        discard(members, open_members, links, texts)
+        return found
+    size = open_members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    put = written(_dealt(open_members, size, sketches).mapInArrow(trimmed(_grouped(_forward(MOST))), "key long, u long, v long"), "forward")
+    discard(open_members, members)
     release(spark)
-    found = components(links)
+    more = written(_confirm(put.filter("v IS NOT NULL").select("u", "v").distinct(), texts), "links")
+    joined = found if more.isEmpty() else components(links.unionByName(more))
+
+    noted = put.filter("v IS NULL").select("key", F.col("u").alias("node")).distinct()
+    left = written(_several(noted, joined), "noted")
+    if left.isEmpty():
+        discard(links, more, put, texts, left)
+        return joined
+    weight = left.join(reps.select("node", "n"), "node").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / SHINGLES)).alias("chunks"))
+    last = _dealt(left, weight, sketches.join(texts, "node")).mapInArrow(trimmed(_grouped(_group_links)), "key long, u long, v long")
+    last = written(last.select("u", "v").distinct(), "links")
+    out = components(links.unionByName(more).unionByName(last))
+    discard(links, more, last, put, texts, left, joined)
+    return out
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n_shingles, node, root, component_id) for each row; h: hash of the text.
+
+    node is the row's class and root that of its component's least node, both null without shingles or doc_id.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    sketches = written(own.mapInArrow(trimmed(_sketch), _SKETCH), "sketches")
+    named = sketches.filter(F.col("lo").isNotNull() & F.col("doc_id").isNotNull())
+    head = F.min(F.struct("doc_id", "h", F.col("n_shingles").alias("n"), "dense", "there")).alias("head")
+    classes = named.groupBy("lo", "hi").agg(head).select("lo", "hi", F.col("head.doc_id").alias("id"), "head.h", "head.n", "head.dense", "head.there")
+    reps = written(classes.withColumn("node", F.monotonically_increasing_id()), "representatives")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        places = reps.select("id", "h", "node").join(nodes, "node")
+        return own.withColumnRenamed("doc_id", "id").join(places, ["id", "h"]).dropDuplicates(["id", "h"]).select("node", "text")
 
-    own = sketches.join(classes, ["lo", "hi"], "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
-    out = own.join(found, "id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    found = _links(reps, texts_of, spark)
+    release(spark)
+    tied = found.join(reps.select(F.col("node").alias("id"), F.col("id").alias("least")), "id")
+    roots = reps.select(F.col("node").alias("component"), F.col("id").alias("own"))
+    least = tied.groupBy("component").agg(F.min("least").alias("least")).join(roots, "component").select("component", F.least("least", "own").alias("component_id"))
+    linked = tied.select(F.col("id").alias("node"), "component").join(least, "component")
+    linked = linked.unionByName(least.select(F.col("component").alias("node"), "component", "component_id"))
+    named_reps = reps.select("lo", "hi", "id", "node").join(linked, "node", "left")
+    of_class = named_reps.select("lo", "hi", "node", F.coalesce("component", "node").alias("root"), F.coalesce("component_id", "id").alias("label"))
+    blank = F.col("doc_id").isNull()
+    joined = sketches.select("doc_id", "h", "n_shingles", "lo", "hi").join(of_class, ["lo", "hi"], "left")
+    return joined.select("doc_id", "h", "n_shingles", *(F.when(~blank, F.col(x)).alias(x) for x in ("node", "root")), F.when(~blank, F.coalesce("label", "doc_id")).alias("component_id"))
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+
+    Two documents are linked when 100 * shared shingles >= 75 * all shingles of both. A null or empty text and one of
+    white space only have no shingles and no links. A null doc_id has no links either: its component is null and it is
+    kept. Rows that share a doc_id but not their shingles each have the component of their own text. Other columns
+    aren't read. An empty table gives an empty one.
+    """
+    out = _labelled(docs).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component does; of repeated rows of a doc_id one stays."""
-    kept = written(near_components(docs).filter("kept").select(F.col("doc_id").alias("_q_id")).distinct(), "kept")
-    named = docs.join(kept, F.col("doc_id") == F.col("_q_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The rows of ``docs`` that stay when one document of each component does, with all their columns.
+
+    A component keeps the text of its smallest doc_id (of several such, the one with the least hash). A null, empty or
+    blank text is linked with nothing and stays. Of rows that repeat doc_id and text one stays. Rows without a doc_id
+    all stay. Names of other columns don't matter. An empty table gives an empty one.
+    """
+    labelled = _labelled(docs).filter(F.col("doc_id").isNotNull())
+    first = labelled.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("first.*")
+    blank = labelled.filter(F.col("root").isNull()).select("doc_id", "h")
+    taken = set(docs.columns)
+    d, h, n = (next(x for x in (f"_{name}{'_' * k}" for k in range(99)) if x not in taken) for name in ("id", "hash", "row"))
+    kept = written(first.unionByName(blank).distinct(), "kept").toDF(d, n)
+    named = docs.filter(F.col("doc_id").isNotNull())
+    stay = named.withColumn(h, F.xxhash64("text")).join(kept, (F.col("doc_id") == F.col(d)) & (F.col(h) == F.col(n)), "left_semi")
+    return stay.dropDuplicates(["doc_id", h]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

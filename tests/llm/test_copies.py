@@ -72,15 +72,28 @@ def families():
     return [(7 * i + 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("chunk", [512, 3])
-def test_near_components(spark, monkeypatch, chunk):
-    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+@pytest.mark.parametrize(("chunk", "shingles", "most"), [(2048, 400_000, 2), (3, 300, 1), (3, 300, 0)])
+def test_near_components(spark, monkeypatch, chunk, shingles, most):
+    for name, value in (("CHUNK", chunk), ("SHINGLES", shingles), ("MOST", most)):
+        monkeypatch.setattr(near_dedup, name, value)
     rows = families()
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, component_id int")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(docs).collect()}
     assert got == {d: (n, c, c == d) for d, (n, c) in brute.near(rows).items()}
 
 
+def test_near_texts_that_share_an_id(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(5, words(1)), (5, words(2)), (7, words(2) + " end"), (8, words(1) + " end"), (9, words(3)), (9, words(3).upper()), (4, " "), (4, None), (4, None)]
+    docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, _id int, _hash int, _row int")
+    got = collections.Counter(map(tuple, near_dedup.near_components(docs).collect()))
+    assert got == collections.Counter([(5, 36, 5, True), (5, 36, 5, True), (7, 37, 5, False), (8, 37, 5, False), (9, 36, 9, True), (9, 36, 9, True), *[(4, 0, 4, True)] * 3])
+    stay = near_dedup.drop_near_duplicates(docs)
+    assert stay.columns == docs.columns
+    kept = [(r.doc_id, (r.text or "").strip().lower()) for r in stay.collect()]
+    assert sorted(kept) == [(4, ""), (4, ""), (5, words(1)), (5, words(2)), (9, words(3))]
+
+
 def test_near_rows_without_ids_and_repeats(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (5, "A B C D E F"), (None, None)], "doc_id long, text string")
     got = collections.Counter(map(tuple, near_dedup.near_components(docs).collect()))
@@ -91,6 +104,7 @@ def test_near_rows_without_ids_and_repeats(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_components(none).collect() == []
+    assert near_dedup.drop_near_duplicates(none).collect() == []
     assert suffix_dedup.remove_repeats(none).collect() == []
 
 
