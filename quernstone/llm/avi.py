@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm.common import table, text_or_empty
+from quernstone.llm.common import small_batches, table, text_or_empty, trimmed
 
 WIDTH, HEIGHT, FPS = 64, 16, 25
 UNIT = 64
@@ -192,7 +192,8 @@ def media_column(docs: DataFrame) -> DataFrame:
 
     A null text is an empty one; every row gives a row, repeated ones and null doc_ids too; an empty table an empty one.
     """
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(trimmed(_encode), "doc_id long, n_bytes long, media binary")
 
 
 def _clip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +210,8 @@ def _clip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def clip_table(media: DataFrame) -> DataFrame:
     """One timed row per clip of each ``media`` value; null media and files without frames give none."""
-    return media.select("doc_id", "media").mapInArrow(_clip_rows, "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double")
+    small_batches(media.sparkSession)
+    return media.select("doc_id", "media").mapInArrow(trimmed(_clip_rows), "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double")
 
 
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, n_clips int"
@@ -231,4 +233,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_column(table(spark, sf_dir, "documents")).mapInArrow(_digest, _DIGEST)
+    return media_column(table(spark, sf_dir, "documents")).mapInArrow(trimmed(_digest), _DIGEST)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import table, text_or_empty, written
+from quernstone.llm.common import table, text_or_empty, trimmed, written
 
 #: Buckets of hashed trigrams; trigrams of a text that count in full, longer texts being no more certain.
 BUCKETS, FULL = 8192, 60.0
@@ -52,7 +52,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log chances of each bucket: BUCKETS numbers per language reach the driver. Null languages don't count."""
-    rows = docs.filter(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(_counted, "lang string, at int, n double")
+    rows = docs.filter(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(trimmed(_counted), "lang string, at int, n double")
     got = rows.filter("n > 0").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
     names = sorted({r["lang"] for r in got})
     c = np.full((len(names), BUCKETS), 0.5)
@@ -99,7 +99,7 @@ def classify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     host, domain, tld = _address(text_or_empty("url"))
     declared = F.lower(F.regexp_extract(text_or_empty("html"), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1))
     asked = pages.select("page_id", host.alias("host"), domain.alias("domain"), tld.alias("tld"), declared.alias("declared"), "html")
-    own = asked.mapInArrow(_text_posteriors(names, model), "page_id long, host string, domain string, tld string, declared string, p array<double>")
+    own = asked.mapInArrow(trimmed(_text_posteriors(names, model)), "page_id long, host string, domain string, tld string, declared string, p array<double>")
     if not k:
         return own.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "host", F.col("p").alias("posterior"))
     own = written(own, "text-posteriors")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import table, written
+from quernstone.llm.common import table, trimmed, written
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -189,7 +189,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, b
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part))
-    blocks = written(own.mapInArrow(_packed(path, block, parts), _BLOCKS), "pretokens")
+    blocks = written(own.mapInArrow(trimmed(_packed(path, block, parts)), _BLOCKS), "pretokens")
     words = blocks.select("block", F.explode("words").alias("w")).select("block", "w.*")
     counted = words.groupBy("part").applyInArrow(_pieces(path), "block long, part int, pieces binary")
     entries = blocks.drop("words").groupBy("block")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import avi, language_id, pieces, quality, token_counts
 from quernstone.llm.token_counts import tokenizer_path
@@ -87,8 +88,13 @@ def test_pieces_against_all_segmentations():
 
 
 def test_pieces_round_trip(docs):
-    out = pieces.decode(pieces.encode(docs, ["doc_id", "text"])).collect()
-    assert len(out) == len(ODD) and all(r.decoded == (r.text or "") for r in out)
+    model = pieces.lattice(tokenizer_path(pieces.MODEL))
+    encoded = pieces.encode(docs, ["doc_id", "text", "n_tokens"])
+    out = encoded.collect()
+    assert len(out) == len(ODD) and all(r.decoded == (r.text or "") and r.library_ids == model.library.encode(r.text or "") for r in out)
+    back = pieces.decode(encoded.select("doc_id", F.col("text").alias("decoded"), "pieces")).collect()
+    assert all(r.text == (r.decoded or "") for r in back)
+    assert pieces.encode(docs.limit(0), ["doc_id"]).collect() == [] == pieces.decode(encoded.limit(0).select("pieces")).collect()
 
 
 def test_quality_held_out(spark):
@@ -114,6 +120,17 @@ def test_quality_edges(spark, docs):
 def test_isotonic():
     at, value = quality.isotonic(np.arange(4.0), np.array([10, 10, 10, 10.0]), np.array([1, 6, 4, 9.0]))
     assert (np.diff(value) >= 0).all() and value[2] == value[3] and len(at) == len(value)
+    at, value = quality.isotonic(np.array([0.0, 1.0]), np.array([1.0, 100.0]), np.array([0.0, 20.0]))
+    assert list(at) == [0, 0, 1, 1] and list(value) == [0, 0, 0.2, 0.2]
+    r = random.Random(2)
+    n, y = np.array([r.randrange(1, 9) for _ in range(60)], float), []
+    for x in n:
+        y.append(float(r.randrange(int(x) + 1)))
+    at, value = quality.isotonic(np.arange(60.0), n, np.array(y))
+    # the least squares fit by the max-min formula
+    mean = lambda a, b: sum(y[a:b]) / n[a:b].sum()
+    want = [max(min(mean(a, b) for b in range(i + 1, 61)) for a in range(i + 1)) for i in range(60)]
+    assert np.allclose(np.interp(np.arange(60.0), at, value), want)
 
 
 def test_language_id(spark):
