@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from quernstone.llm import topk
 
 
-def brute(rows, every, k, scale=256):
+def brute(rows, every, k, scale=256, clamp=(-float("inf"), float("inf"))):
     v = []
     for i, e in rows:
         if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
             v.append((i, tuple(math.floor(scale * x) for x in e)))
     out = set()
     for q, a in {x for x in v if x[0] % every == 0}:
-        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in v if i != q)[:k]
+        best = sorted((-max(clamp[0], min(clamp[1], sum(x * y for x, y in zip(a, b)))), i) for i, b in v if i != q)[:k]
         out |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
     return out
 
@@ -32,6 +32,16 @@ def test_top_k(spark, block):
     assert got == brute(rows, 10, 5)
 
 
+@pytest.mark.parametrize("big", [3e5, 1e15, 3e18, 1e200])
+def test_wide_components(spark, big):
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(60, [big, 1.0]), (61, [-big, 1.0, 0.5]), (62, [big, 2.0]), (70, [0.5, 0.5]), (63, [big / 2, big / 2]), (64, [1e308] * 3)]
+    got = {tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).collect()}
+    least, most = -(10**38) + 1, 10**38 - 1
+    assert got == {(q, n, i, max(-(2**63), min(2**63 - 1, s))) for q, n, i, s in brute([x for x in rows if x[0] != 64], 10, 5, clamp=(least, most))}
+
+
 def test_small_tables(spark):
     kind = "vec_id long, embedding array<float>"
     for rows in ([], [(0, [1.0])], [(0, [1.0]), (1, [2.0]), (1, [2.0]), (50, [-1.0])], [(0, []), (50, []), (3, [])], [(0, None)]):
