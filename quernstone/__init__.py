@@ -1,3 +1,3 @@
 """Spark-native semantic chunking engine: every stage is a ``DataFrame -> DataFrame`` function."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -143,8 +143,8 @@ def heading_level(style: Column) -> Column:
 
 
 def quoted_ellipsis(c: Column) -> Column:
-    """Whether a text ends with an ellipsis and a closing quote."""
-    return rstrip(c).rlike("(\\.\\.\\.|……)[\"”’'」』]$")
+    """Whether a text ends with an ellipsis and a straight closing quote."""
+    return c.rlike("(\\.\\.\\.|……)[\"']$")
 
 
 def image_file_name(url: Column, index: Column) -> Column:

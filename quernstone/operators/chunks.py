@@ -88,8 +88,9 @@ def _rows(doc_id: int | None, chunks: list[Chunk], cfg: ChunkConfig, embed, mode
         )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS.types)], schema=_KINDS)
+def _batch(rows: list[tuple], of_id: pa.DataType) -> pa.RecordBatch:
+    kinds = _KINDS.set(0, pa.field("doc_id", of_id))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.types)], schema=kinds)
 
 
 def fixed_windows(text: str, size: int, score: float) -> list[Chunk]:
@@ -122,7 +123,7 @@ def _mapped(cfg: ChunkConfig, mode: str, embed, coherence: CoherenceConfig, sepa
                         raise
                     how, chunks = "fallback_text", fixed_windows(row.get("text") or "", cfg.target_chunk_size, 0.4)
                 out += _rows(row["doc_id"], chunks, cfg, embed, how)
-            yield _batch(out)
+            yield _batch(out, batch["doc_id"].type)
 
     return run
 
@@ -134,12 +135,13 @@ def chunk_documents(
     """Chunks of ``docs`` (doc_id and text, or doc_id and elements array<struct<content, kind, heading>>).
 
     ``embed`` maps texts to vectors within a Python worker. ``safe`` gives a document whose steps fail fixed windows
-    and names that in processing_mode. Documents without text give no chunks.
+    and names that in processing_mode. Documents without text give no chunks. doc_id may be of any type.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     own = docs.select("doc_id", *[c for c in ("text", "elements") if c in docs.columns])
-    return own.mapInArrow(_mapped(cfg, mode, embed, coherence, separator, safe), CHUNKS)
+    kinds = CHUNKS.replace("doc_id long", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    return own.mapInArrow(_mapped(cfg, mode, embed, coherence, separator, safe), kinds)
 
 
 def length_chunks(docs: DataFrame, cfg: ChunkConfig, separator: str = "\n") -> DataFrame:
@@ -202,6 +204,71 @@ def assign_chunks(df: DataFrame, cfg: ChunkConfig) -> DataFrame:
     return df.select("doc_id", "pos", "size", "embedding").groupBy("doc_id").applyInArrow(run, "doc_id long, pos long, chunk_id int")
 
 
+def chunk_ranges(df: DataFrame, cfg: ChunkConfig, mode: str = "greedy", coherence: CoherenceConfig = CoherenceConfig()) -> DataFrame:
+    """(doc_id, chunk_id, first, last, score) of ordered elements (doc_id, pos, content, heading, embedding), by place from 0.
+
+    The decisions of ``chunk_documents`` for vectors that are there already; score is the mean cosine of all pairs. A
+    document's elements meet in one task. An empty table gives an empty one.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    of_id = df.schema["doc_id"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        texts = [x or "" for x in t["content"].to_pylist()]
+        v = folds.unit(np.array(t["embedding"].to_pylist(), float))
+        own = [Element(c, heading=bool(h)) for c, h in zip(texts, t["heading"].to_pylist())]
+        if mode == "boundary":
+            found = [(c.paragraph_indices, c.semantic_score) for c in folds.by_boundaries(texts, v, cfg)]
+        else:
+            measure = folds.mean_coherence if mode == "greedy" else lambda v, h, i: folds.weighted_coherence(v, h, i, coherence)
+            found = [(i, folds.pair_mean(v, i)) for i in folds.greedy(own, v, cfg, measure)]
+        ids = pa.array([t["doc_id"][0].as_py()] * len(found), t["doc_id"].type)
+        ends = [pa.array([i[k] for i, _ in found], pa.int32()) for k in (0, -1)]
+        return pa.table([ids, pa.array(range(len(found)), pa.int32()), *ends, pa.array([s for _, s in found], pa.float64())], names=["doc_id", "chunk_id", "first", "last", "score"])
+
+    return df.select("doc_id", "pos", "content", "heading", "embedding").groupBy("doc_id").applyInArrow(run, f"doc_id {of_id}, chunk_id int, first int, last int, score double")
+
+
+#: Steps that change the chunks of a document, by name.
+STEPS: dict[str, Callable[[list[Chunk], ChunkConfig], list[Chunk]]] = {
+    "merge": folds.merge_small,
+    "split": folds.split_large,
+    "force_split": lambda chunks, cfg: [x for c in chunks for x in folds.force_split(c, cfg)],
+    "shift": folds.shift_boundaries,
+    "renumber": folds.renumbered,
+}
+
+
+def optimised(chunks: DataFrame, cfg: ChunkConfig, *steps: str) -> DataFrame:
+    """(doc_id, chunk_id, content, start_pos, end_pos, sources, refresh) after the named ``steps`` over (doc_id, chunk_id, content).
+
+    sources: the chunk_ids that a chunk was made of, where a step keeps them; refresh: whether scores are out of date.
+    Null contents count as empty; of repeated chunk_ids any order is taken. A document's chunks meet in one task.
+    """
+    if odd := set(steps) - set(STEPS):
+        raise ValueError(f"unknown steps: {sorted(odd)}")
+    of_id = chunks.schema["doc_id"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk_id")
+        own, at = [], 0
+        for k, c in zip(t["chunk_id"].to_pylist(), t["content"].to_pylist()):
+            own.append(Chunk(c or "", at, at + len(c or ""), paragraph_indices=(k,)))
+            at += len(c or "")
+        for s in steps:
+            own = STEPS[s](own, cfg)
+        ids = pa.array([t["doc_id"][0].as_py()] * len(own), t["doc_id"].type)
+        columns = [
+            pa.array(range(len(own)), pa.int32()), pa.array([c.content for c in own], pa.string()), pa.array([c.start_pos for c in own], pa.int32()), pa.array([c.end_pos for c in own], pa.int32()),
+            pa.array([list(c.paragraph_indices) for c in own], pa.list_(pa.int32())), pa.array([c.refresh for c in own], pa.bool_()),
+        ]
+        return pa.table([ids, *columns], names=["doc_id", "chunk_id", "content", "start_pos", "end_pos", "sources", "refresh"])
+
+    return chunks.select("doc_id", F.col("chunk_id").cast("int").alias("chunk_id"), "content").groupBy("doc_id").applyInArrow(run, f"doc_id {of_id}, chunk_id int, content string, start_pos int, end_pos int, sources array<int>, refresh boolean")
+
+
 def fallback_chunks(docs: DataFrame, cfg: ChunkConfig, separator: str = r"\n\s*\n") -> DataFrame:
     """(doc_id, chunk_id, content, n_parts) by size alone for (doc_id, text), as where the other steps fail."""
     import re

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that don't count (fixed values).
+#: Words that don't count unless the caller names others.
 STOP_EN = ["the", "a", "an", "and", "or", "of", "to", "in", "on", "at", "by", "for", "from", "with", "as", "is", "are", "was", "be", "been", "it", "its", "this", "that", "these", "those", "not", "but"]
-STOP_ZH = ["的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "看", "好", "这"]
+STOP_ZH = ["因为", "所以", "但是", "如果", "虽然", "而且", "或者", "以及", "可以", "已经", "这个", "那个", "这些", "那些", "什么", "怎么", "它们", "他们", "她们", "我们", "你们"]
 
 
-def key_phrases(docs: DataFrame, top_k: int = 10, language: str = "en") -> DataFrame:
-    """(doc_id, phrase, n, rank): the most frequent words, or for ``zh`` pairs of characters without stop words; ties by first place."""
+def key_phrases(docs: DataFrame, top_k: int = 10, language: str = "en", stop: list[str] | None = None) -> DataFrame:
+    """(doc_id, phrase, n, rank): the most frequent words, or for ``zh`` pairs of characters, that aren't stop words; ties by first place."""
+    stop = stop if stop is not None else STOP_ZH if language == "zh" else STOP_EN
     if language == "zh":
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(2)))
-        found = F.filter(pairs, lambda p: p.rlike(r"^[\x{4e00}-\x{9fff}]{2}$") & ~p.rlike("[" + "".join(STOP_ZH) + "]"))
+        found = F.filter(pairs, lambda p: p.rlike(r"^[\x{4e00}-\x{9fff}]{2}$") & ~p.isin(stop))
     else:
-        found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")), lambda w: (F.length(w) > 1) & ~w.isin(STOP_EN))
+        found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")), lambda w: (F.length(w) > 1) & ~w.isin(stop))
     at = docs.select("doc_id", F.posexplode(found).alias("pos", "phrase"))
     counts = at.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")

@@ -71,6 +71,7 @@ def evaluate(chunks: DataFrame) -> DataFrame:
     base = chunks.groupBy("doc_id").agg(
         F.count("*").alias("n_chunks"), F.avg(limited(coherence)).alias("avg_coherence"), F.avg(limited(completeness(F.col("content")))).alias("avg_completeness"),
         length_balance().alias("length_balance"), F.avg(limited(density(F.col("content")))).alias("avg_semantic_density"), (F.max(size) / (F.min(size) + 1)).alias("spread"),
+        F.avg(size).alias("avg_length"), F.min(size).alias("min_length"), F.max(size).alias("max_length"),
     )
     edges = boundary_scores(chunks).groupBy("doc_id").agg(F.avg("score").alias("boundary_quality"))
     out = base.join(edges, "doc_id", "left").withColumn("boundary_quality", F.coalesce("boundary_quality", F.lit(1.0)))
@@ -111,11 +112,21 @@ def summary(chunks: DataFrame) -> DataFrame:
     )
 
 
+#: What a report calls its figures, and its other lines (fixed values).
+REPORT = {"avg_coherence": "连贯性得分", "avg_completeness": "完整性得分", "length_balance": "长度平衡性", "avg_semantic_density": "语义密度", "boundary_quality": "边界质量", "overall_score": "综合得分"}
+REPORT_LINES = {"title": "文本切片质量评估报告", "count": "切片数量: %d", "mean": "平均长度: %.1f 字符", "range": "长度范围: %d - %d 字符", "measures": "质量指标:", "advice": "优化建议:", "none": "当前切片质量良好，无需特殊优化。"}
+
+
 def report(quality: DataFrame) -> DataFrame:
-    """(doc_id, report): the measures as text."""
-    line = lambda name, c: F.format_string(f"{name}: %.3f", F.col(c))
-    lines = [F.format_string("切片总数: %d", F.col("n_chunks")), line("综合得分", "overall_score"), *[line(n, c) for n, c in zip(("连贯性", "完整性", "长度平衡", "语义密度", "边界质量"), ("avg_coherence", "avg_completeness", "length_balance", "avg_semantic_density", "boundary_quality"))]]
-    return quality.select("doc_id", F.concat_ws("\n", *lines, F.array_join(F.transform("suggestions", lambda x: F.concat(F.lit("- "), x)), "\n")).alias("report"))
+    """(doc_id, report): sizes, measures and numbered advice of ``evaluate``'s rows as text between rules."""
+    say = {k: F.lit(v) for k, v in REPORT_LINES.items()}
+    shown = lambda k, *c: F.format_string(REPORT_LINES[k], *c)
+    rule, blank = F.lit("=" * 50), F.lit("")
+    numbered = F.array_join(F.transform("suggestions", lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x)), "\n")
+    lines = [rule, say["title"], rule, shown("count", "n_chunks"), shown("mean", "avg_length"), shown("range", "min_length", "max_length"), blank, say["measures"]]
+    lines += [F.format_string(f"  {name}: %.3f", F.col(c)) for c, name in REPORT.items()]
+    lines += [blank, F.when(F.size("suggestions") > 0, F.concat(say["advice"], F.lit("\n"), numbered)).otherwise(say["none"]), blank, rule]
+    return quality.select("doc_id", F.concat_ws("\n", *lines).alias("report"))
 
 
 def preview(chunks: DataFrame, n: int = 3, size: int = 200) -> DataFrame:

@@ -307,15 +307,37 @@ def quality_evaluation(spark, sf):
     return e.select("doc_id", "n_chunks", *[F.round(F.col(k) + 1e-9, 5).alias(v) for k, v in short.items()], "suggestions")
 
 
-@query()
+_INNER = f"""
+qs AS (SELECT doc_id, chunk_id, list_filter(list_transform(regexp_split_to_array(content, '[。！？；]'), lambda x: {_sql_strip('x')}), lambda x: length(x) > 5) AS s FROM (SELECT doc_id, chunk_id, INPUT AS content FROM ch)),
+qe AS (SELECT doc_id, chunk_id, unnest(s) AS t, generate_subscripts(s, 1) AS k FROM qs), qf AS (SELECT doc_id, chunk_id, k, {_F13} AS v FROM qe),
+qn AS (SELECT doc_id, chunk_id, k, v AS a, lead(v) OVER (PARTITION BY doc_id, chunk_id ORDER BY k) AS b FROM qf),
+qd AS (SELECT doc_id, chunk_id, list_sum(list_transform(list_zip({V.REPEATS}, a, b), lambda x: x[1] * x[2] * x[3])) AS ab, list_sum(list_transform(list_zip({V.REPEATS}, a), lambda x: x[1] * x[2] * x[2])) AS aa, list_sum(list_transform(list_zip({V.REPEATS}, b), lambda x: x[1] * x[2] * x[2])) AS bb FROM qn WHERE b IS NOT NULL),
+inner_c AS (SELECT c.doc_id, c.chunk_id, coalesce(avg(CASE WHEN aa * bb > 0 THEN ab / (sqrt(aa) * sqrt(bb)) ELSE 0 END) FILTER (qd.doc_id IS NOT NULL), 1.0) AS coherence FROM ch c LEFT JOIN qd ON qd.doc_id = c.doc_id AND qd.chunk_id = c.chunk_id GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_PACK}, {_INNER.replace('INPUT', "replace(content, '.', '。')")} SELECT doc_id, chunk_id, round(coherence, 6) AS coherence FROM inner_c")
 def inner_coherence(spark, sf):
     text = F.regexp_replace("content", "[.]", "。")
     return _chunks(spark, sf).select("doc_id", "chunk_id", F.round(Q.inner_coherence(text), 6).alias("coherence"))
 
 
-@query()
+_R = Q.REPORT_LINES
+
+
+@query(f"""WITH RECURSIVE {_PACK}, {_EDGES}, {_INNER.replace('INPUT', 'content')}, w AS (SELECT doc_id, chunk_id, content, list_transform(list_filter(list_transform(string_split_regex(content, '[。！？；]'), lambda x: {_sql_strip('x')}), lambda x: length(x) > 5), lambda x: len({_sql_words('x')})) AS s FROM ch),
+m AS (SELECT doc_id, count(*) AS n, avg({_SQL_COMPLETE}) AS completeness, avg({_SQL_DENSITY}) AS density, max(length(content))::DOUBLE / (min(length(content)) + 1) AS spread, avg(length(content)) AS mean, min(length(content)) AS low, max(length(content)) AS high,
+  CASE WHEN count(*) < 2 THEN 1.0 WHEN avg(length(content)) = 0 THEN 0.0 ELSE greatest(0.0, 1 - stddev_pop(length(content)) / avg(length(content))) END AS balance FROM w GROUP BY doc_id),
+b AS (SELECT m.*, coalesce(e.b, 1.0) AS boundary, i.coherence FROM m LEFT JOIN (SELECT doc_id, avg(score) AS b FROM edges GROUP BY 1) e USING (doc_id) JOIN (SELECT doc_id, avg(least(1.0, greatest(0.0, coherence))) AS coherence FROM inner_c GROUP BY 1) i USING (doc_id)),
+o AS (SELECT *, 0.3::DOUBLE * coherence + 0.25::DOUBLE * completeness + 0.15::DOUBLE * balance + 0.15::DOUBLE * density + 0.15::DOUBLE * boundary AS overall FROM b),
+a AS (SELECT *, list_filter([CASE WHEN coherence < 0.6 THEN '{Q.ADVICE["coherence"]}' END, CASE WHEN completeness < 0.7 THEN '{Q.ADVICE["completeness"]}' END, CASE WHEN balance < 0.6 AND spread > 3 THEN '{Q.ADVICE["balance"]}' END, CASE WHEN density < 0.4 THEN '{Q.ADVICE["density"]}' END,
+   CASE WHEN boundary < 0.6 THEN '{Q.ADVICE["boundary"]}' END, CASE WHEN overall < 0.5 THEN '{Q.ADVICE["poor"]}' WHEN overall > 0.8 THEN '{Q.ADVICE["good"]}' END], lambda x: x IS NOT NULL) AS said FROM o)
+SELECT doc_id, array_to_string([repeat('=', 50), '{_R["title"]}', repeat('=', 50), printf('{_R["count"]}', n), printf('{_R["mean"]}', mean + 1e-6), printf('{_R["range"]}', low, high), '', '{_R["measures"]}',
+  {", ".join(f"printf('  {name}: %.3f', round({c}, 6) + 1e-7)" for c, name in zip(("coherence", "completeness", "balance", "density", "boundary", "overall"), Q.REPORT.values()))}, '',
+  CASE WHEN len(said) > 0 THEN '{_R["advice"]}' || chr(10) || array_to_string(list_transform(said, lambda x, i: '  ' || i || '. ' || x), chr(10)) ELSE '{_R["none"]}' END, '', repeat('=', 50)], chr(10)) AS report FROM a""")
 def quality_report(spark, sf):
-    return Q.report(Q.evaluate(_chunks(spark, sf).withColumn("coherence_score", Q.inner_coherence(F.col("content")))))
+    """Figures a little above ties of rounding."""
+    e = Q.evaluate(_chunks(spark, sf).withColumn("coherence_score", Q.inner_coherence(F.col("content"))))
+    return Q.report(e.withColumn("avg_length", F.col("avg_length") + 1e-6).withColumns({c: F.round(c, 6) + 1e-7 for c in Q.REPORT}))
 
 
 @query(f"""WITH RECURSIVE {_PACK}, t AS (SELECT length(content) AS n, trunc(len({_sql_words('content')}) / 0.75::DOUBLE)::INT AS k FROM ch)
@@ -443,10 +465,11 @@ def long_paragraph_repack(spark, sf):
 @query(f"WITH RECURSIVE {_PACK} SELECT doc_id, chunk_id, content, n_parts FROM ch")
 def save_load_roundtrip(spark, sf):
     """What is written is what is read back."""
-    import tempfile
+    from quernstone.sources.sinks import load_chunks, save_parquet, scratch
+
+    path = scratch(spark, "chunks")
+    save_parquet(_chunks(spark, sf), path)
+    return load_chunks(spark, path)
 
-    from quernstone.sources.sinks import load_chunks, save_parquet
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernstone-")
-    save_parquet(_chunks(spark, sf), f"{folder.rstrip('/')}/quernstone-chunks")
-    return load_chunks(spark, f"{folder.rstrip('/')}/quernstone-chunks")
+from quernstone.plans import fold_queries  # noqa: E402, F401  (adds its own)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +36,21 @@ def save_json(chunks: DataFrame, path: str, cfg: ChunkConfig) -> None:
 
 def load_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, removed when the driver ends; a local session may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[[^,\]]*(,[^,\]]*)?\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quernstone-")
+    path = f"{folder.rstrip('/')}/quernstone-{what}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
