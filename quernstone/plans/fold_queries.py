@@ -8,6 +8,7 @@ from quernstone.config import ChunkConfig
 from quernstone.functions import text as T
 from quernstone.operators import boundaries as B
 from quernstone.operators import chunks as C
+from quernstone.operators import quality as Q
 from quernstone.plans.queries import _LINES, _WS, _docs, _fixed, _lines, _sql_flat, _sql_strip, _vectors, query
 
 #: Sizes for packing short elements, and for steps over chunks.
@@ -121,17 +122,41 @@ def merge_small_chunks(spark, sf):
 _SHARED = int(STEP.target_chunk_size * STEP.overlap_ratio)
 
 
-@query(rf"""WITH RECURSIVE w AS (SELECT doc_id, 0 AS a, 0 AS z, length(text) AS n, false AS there FROM documents
-  UNION ALL SELECT doc_id, nexts AS a, CASE WHEN e0 >= n THEN n WHEN after < length(ahead) THEN e0 + after WHEN before < length(behind) THEN e0 - before ELSE e0 END, n, true
+
+def _windows_sql(source: str) -> str:
+    """w (id, a, z): the windows of ``source`` (id, text) that end at white space near the target, as SQL of a recursive step."""
+    return rf"""w AS (SELECT id, 0 AS a, 0 AS z, length(text) AS n, false AS there FROM {source}
+  UNION ALL SELECT id, nexts AS a, CASE WHEN e0 >= n THEN n WHEN after < length(ahead) THEN e0 + after WHEN before < length(behind) THEN e0 - before ELSE e0 END, n, true
   FROM (SELECT *, length(regexp_extract(ahead, '^[^ \n\t]*')) AS after, length(regexp_extract(behind, '[^ \n\t]*$')) AS before
     FROM (SELECT *, substring(text, e0 + 1, least(50, n - e0)) AS ahead, substring(text, greatest(e0 - 50, nexts) + 2, e0 - greatest(e0 - 50, nexts)) AS behind
-      FROM (SELECT w.doc_id, d.text, w.n, nexts, least(nexts + {STEP.target_chunk_size}, w.n) AS e0 FROM (SELECT *, CASE WHEN there THEN greatest(a + 1, z - {_SHARED}) ELSE 0 END AS nexts FROM w WHERE NOT there OR z < n) w JOIN documents d USING (doc_id) WHERE nexts < w.n))))
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk_id, content, a::INT AS start_pos, z::INT AS end_pos FROM (SELECT w.doc_id, a, z, {_sql_strip('substring(text, a + 1, z - a)')} AS content FROM w JOIN documents USING (doc_id) WHERE there) WHERE content <> ''""")
+      FROM (SELECT w.id, d.text, w.n, nexts, least(nexts + {STEP.target_chunk_size}, w.n) AS e0 FROM (SELECT *, CASE WHEN there THEN greatest(a + 1, z - {_SHARED}) ELSE 0 END AS nexts FROM w WHERE NOT there OR z < n) w JOIN {source} d USING (id) WHERE nexts < w.n))))"""
+
+
+@query(f"""WITH RECURSIVE src AS (SELECT doc_id AS id, text FROM documents), {_windows_sql('src')}
+SELECT id AS doc_id, (row_number() OVER (PARTITION BY id ORDER BY a) - 1)::INT AS chunk_id, content, a::INT AS start_pos, z::INT AS end_pos FROM (SELECT id, a, z, {_sql_strip('substring(text, a + 1, z - a)')} AS content FROM w JOIN src USING (id) WHERE there) WHERE content <> ''""")
 def force_split_chunks(spark, sf):
     whole = _docs(spark, sf).select("doc_id", F.lit(0).alias("chunk_id"), F.col("text").alias("content"))
     return C.optimised(whole, STEP, "force_split").select("doc_id", "chunk_id", "content", "start_pos", "end_pos")
 
 
+_KEPT = f"CASE WHEN k - first > 1 THEN greatest(1, floor((k - first) * {STEP.overlap_ratio}::DOUBLE)::INT) ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED ({_fixed(900)}),
+ss AS MATERIALIZED (SELECT doc_id, chunk_id, list_filter(list_transform(regexp_split_to_array(content, '[.!?;]'), lambda x: {_sql_strip('x')}), lambda x: x <> '') AS s, content FROM p WHERE length(content) > {STEP.max_chunk_size}),
+src AS MATERIALIZED (SELECT doc_id * 100000 + chunk_id AS id, content AS text FROM ss WHERE len(s) < 2), {_windows_sql('src')},
+g AS (SELECT doc_id, chunk_id, 1 AS k, 0 AS grp, 1 AS first, length(s[1])::BIGINT AS size FROM ss WHERE len(s) > 1
+  UNION ALL SELECT doc_id, chunk_id, k, CASE WHEN cut THEN grp + 1 ELSE grp END, CASE WHEN cut THEN k - taken ELSE first END, CASE WHEN cut THEN n + coalesce(list_sum(list_transform(s[k - taken : k - 1], lambda x: length(x))), 0)::BIGINT ELSE size + n END
+  FROM (SELECT *, size + n > {STEP.max_chunk_size} AS cut, {_KEPT} AS taken FROM (SELECT g.doc_id, g.chunk_id, g.k + 1 AS k, g.grp, g.first, g.size, ss.s, length(ss.s[g.k + 1]) AS n FROM g JOIN ss USING (doc_id, chunk_id) WHERE g.k < len(ss.s)))),
+r AS (SELECT doc_id, chunk_id, grp, min(first) AS first, max(k) AS last FROM g GROUP BY 1, 2, 3),
+u AS (SELECT doc_id, chunk_id, 0 AS part, content, false AS refresh FROM p WHERE length(content) <= {STEP.max_chunk_size}
+  UNION ALL SELECT r.doc_id, r.chunk_id, grp, array_to_string(s[first : last], ' '), true FROM r JOIN ss USING (doc_id, chunk_id)
+  UNION ALL SELECT id // 100000, id % 100000, a, content, true FROM (SELECT id, a, {_sql_strip('substring(text, a + 1, z - a)')} AS content FROM w JOIN src USING (id) WHERE there) WHERE content <> '')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id, part) - 1)::INT AS chunk_id, content, refresh FROM u""")
+def split_large_chunks(spark, sf):
+    return C.optimised(C.window_chunks(_docs(spark, sf), 900), STEP, "split").select("doc_id", "chunk_id", "content", "refresh")
+
+
 _ENDED = rf"""[。！？；.!?;]["”’'\)\]\s\p{{Z}}]*$"""
 _LEAD = r"""(?s)^[^。！？；.!?;]*[。！？；.!?;]["”’'\)\]} \t\r\n]*"""
 
@@ -170,3 +195,14 @@ def boundary_texts(spark, sf):
     quoted = T.quoted_ellipsis(F.concat(a, F.lit('..."'))) & ~T.quoted_ellipsis(F.concat(a, F.lit("...」")))
     style = F.concat(F.lit("Heading "), F.col("pos").cast("string"))
     return l.select("doc_id", "pos", T.ends_sentence(a).alias("ended"), T.leading_sentence_length(b).alias("lead"), T.join_at_boundary(a, b).alias("joined"), quoted.alias("quoted"), T.heading_level(style).alias("level"))
+
+
+_KINDS = "CASE chunk_id % 4 WHEN 0 THEN 'text_content' WHEN 1 THEN 'table_content' WHEN 2 THEN 'mixed_content' ELSE 'image_content' END"
+
+
+@query(f"""SELECT doc_id, count(*) AS total_chunks, count(*) FILTER (chunk_id % 2 = 0) AS total_paragraphs, count(*) FILTER (chunk_id % 4 IN (1, 2)) AS total_tables, count(*) FILTER (chunk_id % 4 IN (2, 3)) AS total_images,
+ list_sort(list(DISTINCT {_KINDS})) AS chunk_types, round(avg(trunc(length(content) / 1.3::DOUBLE)), 6) AS average_chunk_size FROM ({_fixed(300)}) GROUP BY 1""")
+def summary_by_kind(spark, sf):
+    """Windows as chunks of four kinds in turn."""
+    c = C.window_chunks(_docs(spark, sf), 300).withColumns({"chunk_type": F.expr(_KINDS), "token_count": T.token_estimate(F.col("content")), "has_table": (F.col("chunk_id") % 4).isin(1, 2), "has_image": F.col("chunk_id") % 4 >= 2})
+    return Q.summary(c).withColumn("average_chunk_size", F.round("average_chunk_size", 6))

@@ -457,7 +457,12 @@ def fallback_packing(spark, sf):
     return C.fallback_chunks(_docs(spark, sf), SIZES, "\n")
 
 
-@query()
+@query(rf"""WITH RECURSIVE b AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1) AS block, c FROM (SELECT doc_id, k, {_sql_strip('c')} AS c FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) AS c, generate_subscripts(regexp_split_to_array(text, '\n\s*\n'), 1) AS k FROM documents)) WHERE c <> ''),
+s AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY k) AS k, x FROM (SELECT doc_id, block, k, {_sql_strip('x')} AS x FROM (SELECT doc_id, block, unnest(regexp_split_to_array(c, '[。！？.!?]')) AS x, generate_subscripts(regexp_split_to_array(c, '[。！？.!?]'), 1) AS k FROM b WHERE length(c) > 800)) WHERE x <> ''),
+g AS (SELECT doc_id, block, k, 0 AS grp, length(x) + 1 AS size FROM s WHERE k = 1
+      UNION ALL SELECT s.doc_id, s.block, s.k, CASE WHEN g.size + length(x) >= 720 THEN grp + 1 ELSE grp END, CASE WHEN g.size + length(x) >= 720 THEN 0 ELSE g.size END + length(x) + 1 FROM g JOIN s ON s.doc_id = g.doc_id AND s.block = g.block AND s.k = g.k + 1),
+u AS (SELECT doc_id, block, 0 AS grp, c AS content FROM b WHERE length(c) <= 800 UNION ALL SELECT doc_id, block, grp, string_agg(x || '。', '' ORDER BY k) FROM g JOIN s USING (doc_id, block, k) GROUP BY 1, 2, 3)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block, grp) - 1)::INT AS pos, content FROM u""")
 def long_paragraph_repack(spark, sf):
     return C.repacked_paragraphs(_docs(spark, sf), SIZES)
 
