@@ -145,26 +145,75 @@ def matched_images(asked: DataFrame, there: DataFrame) -> DataFrame:
     return both.select("doc_id", "pos", F.coalesce("matched", F.lit(-1)).alias("matched"))
 
 
-def elements(docs: DataFrame, least: int = 10, language: str = "zh") -> DataFrame:
-    """(doc_id, pos, kind, heading, content, embed_text): paragraphs, tables and images in the order of the markdown.
+def stream(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, kind, content, url, alt) of paragraphs, tables and images as they follow each other in the markdown.
 
-    Paragraphs need ``least`` characters and something left after cleaning; the k-th image's text for embedding names k.
+    An image alone on its line ends the paragraph before it. Tables are theirs whole, paragraphs and headings with their
+    marks; url and alt are null but for images. A null markdown has none.
     """
     alone = rf"^{IMAGE}$"
     b = blocks(docs).withColumn("table", T.is_markdown_table(F.col("content")))
     lines = b.filter("NOT table").select("doc_id", "block", F.posexplode(F.split("content", "\n", -1)).alias("line", "content")).withColumn("content", T.strip(F.col("content")))
-    images = lines.filter(F.col("content").rlike(alone)).select("doc_id", "block", "line", F.lit("image").alias("kind"), F.lit(False).alias("heading"), F.col("content"))
-    text = lines.filter(~F.col("content").rlike(alone) & (F.col("content") != "")).groupBy("doc_id", "block").agg(F.min("line").alias("line"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n").alias("raw"))
-    heading = ~F.col("raw").contains("\n") & F.col("raw").rlike(HEADING)
-    bare = F.when(heading, F.regexp_extract("raw", HEADING, 2)).otherwise(F.col("raw"))
-    paras = text.select("doc_id", "block", "line", F.lit("paragraph").alias("kind"), heading.alias("heading"), bare.alias("raw"))
-    paras = paras.withColumn("content", T.clean_text(F.col("raw"), language)).filter((F.length("raw") >= least) & (F.col("content") != "")).drop("raw")
-    rows = b.filter("table").select("doc_id", "block", F.lit(0).alias("line"), F.lit("table").alias("kind"), F.lit(False).alias("heading"), F.array_join(rendered(table_rows(F.col("content"))), "\n").alias("content"))
+    lines = lines.filter("content <> ''").withColumn("image", F.col("content").rlike(alone))
+    run = F.sum(F.col("image").cast("int")).over(Window.partitionBy("doc_id", "block").orderBy("line"))
+    text = lines.withColumn("run", run).filter("NOT image").groupBy("doc_id", "block", "run")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n")
+    none = F.lit(None).cast("string")
+    paras = text.agg(F.min("line").alias("line"), joined.alias("content")).select("doc_id", "block", "line", F.lit("paragraph").alias("kind"), "content", none.alias("url"), none.alias("alt"))
+    images = lines.filter("image").select("doc_id", "block", "line", F.lit("image").alias("kind"), "content", *(T.strip(F.regexp_extract("content", alone, k)).alias(n) for n, k in (("url", 2), ("alt", 1))))
+    rows = b.filter("table").select("doc_id", "block", F.lit(0).alias("line"), F.lit("table").alias("kind"), "content", none.alias("url"), none.alias("alt"))
     order = Window.partitionBy("doc_id").orderBy("block", "line")
-    out = paras.unionByName(rows).unionByName(images).withColumn("pos", F.row_number().over(order) - 1)
+    return paras.unionByName(images).unionByName(rows).select("doc_id", (F.row_number().over(order) - 1).alias("pos"), "kind", "content", "url", "alt")
+
+
+def assembled(docs: DataFrame, paras: DataFrame, tabs: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, pos, kind, heading, content, url, source): a parsed document's parts in the order of its markdown.
+
+    ``paras`` (doc_id, index, type, content), ``tabs`` (doc_id, index, content as markdown lines) and ``images`` (doc_id,
+    index, url, filename) each go where the markdown has them; source is their index, null for what only the markdown
+    has. What it doesn't name follows: paragraphs, tables, images. A document without markdown has these alone. An
+    image's content is its file name, or its alt text.
+    """
+    own = stream(docs)
+    kind = lambda k: own.filter(F.col("kind") == k)
+    bare = F.when(~F.col("content").contains("\n") & F.col("content").rlike(HEADING), F.regexp_extract("content", HEADING, 2)).otherwise(F.col("content"))
+    text = kind("paragraph").withColumns({"marked": ~F.col("content").contains("\n") & F.col("content").rlike(HEADING), "content": bare})
+    parts = []
+    for n, (name, asked, there, found, value) in enumerate((
+        ("paragraph", text, paras.withColumn("head", F.col("type") == "heading"), matched(text.select("doc_id", "pos", "content"), paras.select("doc_id", "index", "content")), "content"),
+        ("table", kind("table"), tabs, matched_tables(kind("table").select("doc_id", "pos", "content"), tabs.select("doc_id", "index", "content")), "content"),
+        ("image", kind("image"), images, matched_images(kind("image").select("doc_id", "pos", "url", "alt"), images.select("doc_id", "index", "url", "filename")), "filename"),
+    ), 1):
+        head = F.col("head") if name == "paragraph" else F.lit(False)
+        link = F.col("url") if name == "image" else F.lit(None).cast("string")
+        given = there.select("doc_id", F.col("index").alias("source"), F.col(value).alias("g_content"), head.alias("g_head"), link.alias("g_url"))
+        places = found.select("doc_id", "pos", F.nullif("matched", F.lit(-1)).alias("source"))
+        mine = asked.select("doc_id", "pos", *([F.col("marked")] if name == "paragraph" else [F.lit(False).alias("marked")]), F.col("alt" if name == "image" else "content").alias("content"), "url")
+        placed = mine.join(places, ["doc_id", "pos"]).join(given, ["doc_id", "source"], "left")
+        parts.append(placed.select("doc_id", F.lit(0).alias("tier"), F.col("pos").cast("long").alias("at"), F.lit(name).alias("kind"), F.coalesce("g_head", "marked").alias("heading"), F.coalesce("g_content", "content").alias("content"), F.coalesce("g_url", "url").alias("url"), F.col("source").cast("long").alias("source")))
+        rest = given.join(places.filter("source IS NOT NULL").select("doc_id", "source"), ["doc_id", "source"], "left_anti")
+        parts.append(rest.select("doc_id", F.lit(n).alias("tier"), F.col("source").cast("long").alias("at"), F.lit(name).alias("kind"), F.col("g_head").alias("heading"), F.col("g_content").alias("content"), F.col("g_url").alias("url"), F.col("source").cast("long").alias("source")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    order = Window.partitionBy("doc_id").orderBy("tier", "at")
+    return out.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), "kind", "heading", "content", "url", "source")
+
+
+def elements(docs: DataFrame, least: int = 10, language: str = "zh") -> DataFrame:
+    """(doc_id, pos, kind, heading, content, embed_text): paragraphs, tables and images in the order of the markdown.
+
+    Paragraphs need ``least`` characters and something left after cleaning; the k-th image's text for embedding names k.
+    """
+    own = stream(docs)
+    heading = (F.col("kind") == "paragraph") & ~F.col("content").contains("\n") & F.col("content").rlike(HEADING)
+    bare = F.when(heading, F.regexp_extract("content", HEADING, 2)).otherwise(F.col("content"))
+    content = F.when(F.col("kind") == "paragraph", T.clean_text(bare, language)).when(F.col("kind") == "table", F.array_join(rendered(table_rows(F.col("content"))), "\n")).otherwise(F.col("content"))
+    kept = own.withColumns({"heading": heading, "size": F.length(bare), "text": content}).filter((F.col("kind") != "paragraph") | ((F.col("size") >= least) & (F.col("text") != "")))
+    order = Window.partitionBy("doc_id").orderBy("pos")
     before = F.coalesce(F.sum((F.col("kind") == "image").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    text_of = F.when(F.col("kind") == "image", F.concat(F.lit(T.IMAGE_MARK), before.cast("string"), F.lit("]"))).otherwise(F.col("content"))
-    return out.select("doc_id", "pos", "kind", "heading", "content", text_of.alias("embed_text"))
+    text_of = F.when(F.col("kind") == "image", F.concat(F.lit(T.IMAGE_MARK), before.cast("string"), F.lit("]"))).otherwise(F.col("text"))
+    return kept.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), "kind", "heading", F.col("text").alias("content"), text_of.alias("embed_text"))
 
 
 def as_documents(elems: DataFrame) -> DataFrame:

@@ -71,7 +71,12 @@ def clean_text_zh(spark, sf):
     return _docs(spark, sf).select("doc_id", T.clean_text(F.col("text"), "zh").alias("content"))
 
 
-@query(f"""SELECT doc_id, {_sql_strip(f"regexp_replace({_sql_flat('text')}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\s.,!?;:\"''()\\[\\]<>-]', '', 'g')")} AS content FROM documents""")
+def _sql_clean_en(x: str) -> str:
+    other = r"""[^\p{L}\p{M}\p{Nd}\p{Pc}\s.,!?;:"''()\[\]<>-]"""
+    return _sql_strip(f"regexp_replace({_sql_flat(x)}, '{other}', '', 'g')")
+
+
+@query(f"SELECT doc_id, {_sql_clean_en('text')} AS content FROM documents")
 def clean_text_en(spark, sf):
     return _docs(spark, sf).select("doc_id", T.clean_text(F.col("text"), "en").alias("content"))
 
@@ -113,11 +118,13 @@ def structure_flags(spark, sf):
 
 
 @query(r"""
-WITH b AS (SELECT doc_id, pos, content, length(content) - length(replace(content, '|', '')) AS pipes FROM (""" + _LINES + r"""))
+WITH b AS (SELECT doc_id, pos, content, length(content) - length(replace(content, '|', '')) AS pipes, regexp_extract_all(content, '\d+\D*') AS runs, regexp_extract(content, '^\D*') AS before FROM (""" + _LINES + r"""))
 SELECT doc_id, pos, length(content) AS n FROM b
 WHERE pipes >= 3 OR starts_with(content, '[表格内容]') OR (pipes >= 2 AND regexp_matches(content, '编号|检查项|描述|项目|内容|序号|名称|说明'))
   OR ((pipes >= 2 OR contains(content, chr(9))) AND len(list_filter(regexp_split_to_array(content, '[|\t]'), lambda x: trim(x) <> '')) >= 3)
-  OR len(regexp_extract_all(content, '[-•·]\s*[^-•·]+')) >= 3""")
+  OR len(regexp_extract_all(content, '[-•·]\s*[^-•·]+')) >= 3
+  OR regexp_matches(content, '\d+\s+[^0-9]+?\?\s*示例[：:]\s*[^0-9]*\d+\s+')
+  OR len(list_filter(range(1, len(runs) + 1), lambda i: regexp_matches(runs[i], '^\d+\s\D') AND (i = len(runs) OR regexp_matches(runs[i + 1], '^\d+\s')) AND NOT regexp_matches(CASE WHEN i = 1 THEN before ELSE runs[i - 1] END, '[\p{L}\p{N}_]$'))) >= 3""")
 def table_lines(spark, sf):
     return _lines(spark, sf).filter(T.is_table(F.col("content"))).select("doc_id", "pos", F.length("content").alias("n"))
 
@@ -401,7 +408,21 @@ def document_sections(spark, sf):
     return M.sections(M.paragraphs(_talks(spark, sf)))
 
 
-@query()
+_STREAM = rf"""
+eb AS (SELECT doc_id, unnest(regexp_split_to_array(markdown, '\n\s*\n')) AS c, generate_subscripts(regexp_split_to_array(markdown, '\n\s*\n'), 1) AS k FROM ({_TALKS})),
+el AS (SELECT doc_id, k, unnest(string_split(c, chr(10))) AS x, generate_subscripts(string_split(c, chr(10)), 1) AS l FROM eb),
+en AS (SELECT doc_id, k, l, {_sql_strip('x')} AS x, regexp_matches({_sql_strip('x')}, '^!\[([^\]]*)\]\(([^)]+)\)$') AS image FROM el WHERE {_sql_strip('x')} <> ''),
+er AS (SELECT *, sum(image::INT) OVER (PARTITION BY doc_id, k ORDER BY l) AS run FROM en),
+eg AS (SELECT doc_id, k, min(l) AS l, image, string_agg(x, chr(10) ORDER BY l) AS raw FROM er GROUP BY doc_id, k, run, image),
+ep AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, l) - 1)::INT AS pos, image, raw, NOT image AND NOT contains(raw, chr(10)) AND regexp_matches(raw, '^(#{{1,6}})\s+(.*)$') AS head FROM eg),
+ec AS (SELECT *, CASE WHEN head THEN regexp_extract(raw, '^(#{{1,6}})\s+(.*)$', 2) ELSE raw END AS bare FROM ep)"""
+
+
+@query(rf"""WITH {_STREAM},
+cl AS (SELECT *, CASE WHEN image THEN raw ELSE {_sql_clean_en('bare')} END AS text FROM ec),
+ok AS (SELECT * FROM cl WHERE image OR (length(bare) >= 10 AND text <> ''))
+SELECT doc_id, (row_number() OVER w - 1)::INT AS pos, CASE WHEN image THEN 'image' ELSE 'paragraph' END AS kind, head AS heading, text AS content,
+ CASE WHEN image THEN '[IMAGE_PLACEHOLDER_' || (sum(image::INT) OVER w - 1) || ']' ELSE text END AS embed_text FROM ok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""")
 def markdown_elements(spark, sf):
     return M.elements(_talks(spark, sf), language="en")
 
@@ -414,6 +435,37 @@ def paragraph_matching(spark, sf):
     return M.matched(there.select("doc_id", F.col("index").alias("pos"), "content"), there.select("doc_id", "index", "content").filter("index % 5 <> 4"))
 
 
+def _parts(spark, sf):
+    """Conversations and what a parser might give for them: four of five paragraphs, an appendix, a table, images."""
+    docs = _talks(spark, sf)
+    more = docs.select("doc_id", F.lit(1000).alias("index"), F.lit("paragraph").alias("type"), F.lit("An appendix that the text lacks.").alias("content"))
+    paras = M.paragraphs(docs).select("doc_id", "index", "type", "content").filter("index % 5 <> 4").unionByName(more)
+    tabs = docs.select("doc_id", F.lit(0).alias("index"), F.lit("| a | b |").alias("content"))
+    found = M.all_images(docs, docs.select("doc_id", F.lit("http://img.example.com/cover.jpg").alias("url")))
+    order = Window.partitionBy("doc_id").orderBy("source", "url")
+    images = found.select("doc_id", "url", "filename", "source").withColumn("index", F.row_number().over(order) - 1).filter("filename <> '5.png'")
+    return docs, paras, tabs, images
+
+
+@query(rf"""WITH {_PARAS}, {_STREAM},
+gp AS (SELECT doc_id, index, head, content FROM paras WHERE index % 5 <> 4 UNION ALL SELECT doc_id, 1000, false, 'An appendix that the text lacks.' FROM ({_TALKS})),
+ki AS (SELECT doc_id, pos, bare, head, {_sql_flat("CASE WHEN contains(bare, chr(10)) THEN bare ELSE regexp_replace(bare, '^#{1,6}[ ]+', '') END")} AS key FROM ec WHERE NOT image),
+kg AS (SELECT *, {_sql_flat("CASE WHEN contains(content, chr(10)) THEN content ELSE regexp_replace(content, '^#{1,6}[ ]+', '') END")} AS key FROM gp),
+na AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS nth FROM ki), nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY index) AS nth FROM kg),
+iu AS (SELECT doc_id, regexp_extract(raw, '^!\[([^\]]*)\]\(([^)]+)\)$', 2) AS url, regexp_extract(raw, '^!\[([^\]]*)\]', 1) AS alt, pos FROM ec WHERE image),
+ig AS (SELECT doc_id, url, regexp_extract(url, '([^/]+)$', 1) AS filename, row_number() OVER (PARTITION BY doc_id ORDER BY src, url) - 1 AS index FROM (SELECT doc_id, url, 'inline' AS src FROM iu UNION ALL SELECT doc_id, 'http://img.example.com/cover.jpg', 'remote' FROM ({_TALKS}))),
+ih AS (SELECT * FROM ig WHERE filename <> '5.png'),
+ia AS (SELECT *, row_number() OVER (PARTITION BY doc_id, url ORDER BY pos) AS nth FROM iu), ib AS (SELECT *, row_number() OVER (PARTITION BY doc_id, url ORDER BY index) AS nth FROM ih),
+alls AS (SELECT na.doc_id, 0 AS tier, na.pos::BIGINT AS at_pos, 'paragraph' AS kind, coalesce(nb.head, na.head) AS heading, coalesce(nb.content, na.bare) AS content, NULL AS url, nb.index::BIGINT AS source FROM na LEFT JOIN nb USING (doc_id, key, nth)
+ UNION ALL SELECT nb.doc_id, 1, nb.index, 'paragraph', nb.head, nb.content, NULL, nb.index FROM nb LEFT JOIN na USING (doc_id, key, nth) WHERE na.pos IS NULL
+ UNION ALL SELECT doc_id, 2, 0, 'table', false, '| a | b |', NULL, 0 FROM ({_TALKS})
+ UNION ALL SELECT ia.doc_id, 0, ia.pos, 'image', false, coalesce(ib.filename, ia.alt), coalesce(ib.url, ia.url), ib.index FROM ia LEFT JOIN ib USING (doc_id, url, nth)
+ UNION ALL SELECT ib.doc_id, 3, ib.index, 'image', false, ib.filename, ib.url, ib.index FROM ib LEFT JOIN ia USING (doc_id, url, nth) WHERE ia.pos IS NULL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY tier, at_pos) - 1)::INT AS pos, kind, heading, content, url, source FROM alls""")
+def assembled_elements(spark, sf):
+    return M.assembled(*_parts(spark, sf))
+
+
 @query()
 def greedy_chunks_semantic(spark, sf):
     return C.chunk_documents(_docs(spark, sf), SIZES.with_(semantic_threshold=0.9), "greedy", separator="\n").drop("metadata")
