@@ -41,6 +41,12 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     )
 
 
+def postprocessed(paras: DataFrame, least: int = 10) -> DataFrame:
+    """``paras`` with cleaned contents: headings while something is left, others of ``least`` characters or more."""
+    out = paras.withColumn("content", T.clean_page_noise(F.col("content")))
+    return out.filter(((F.col("type") == "heading") & (F.col("content") != "")) | (F.length("content") >= least))
+
+
 def table_rows(c: Column) -> Column:
     """Cells of a markdown table's lines, rules left out."""
     lines = F.filter(F.transform(F.split(c, "\n", -1), T.strip), lambda x: x.contains("|") & ~x.contains("---"))

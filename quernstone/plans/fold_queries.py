@@ -8,7 +8,9 @@ from quernstone.config import ChunkConfig
 from quernstone.functions import text as T
 from quernstone.operators import boundaries as B
 from quernstone.operators import chunks as C
+from quernstone.operators import markdown as M
 from quernstone.operators import quality as Q
+from quernstone.plans.pipeline import processing_statistics as run_statistics
 from quernstone.plans.queries import _LINES, _WS, _docs, _fixed, _lines, _sql_flat, _sql_strip, _vectors, query
 
 #: Sizes for packing short elements, and for steps over chunks.
@@ -206,3 +208,21 @@ def summary_by_kind(spark, sf):
     """Windows as chunks of four kinds in turn."""
     c = C.window_chunks(_docs(spark, sf), 300).withColumns({"chunk_type": F.expr(_KINDS), "token_count": T.token_estimate(F.col("content")), "has_table": (F.col("chunk_id") % 4).isin(1, 2), "has_image": F.col("chunk_id") % 4 >= 2})
     return Q.summary(c).withColumn("average_chunk_size", F.round("average_chunk_size", 6))
+
+
+@query(f"""WITH l AS (SELECT doc_id, pos, pos % 4 = 0 AS head, {_sql_flat('substring(content, 1, (5 + pos % 30)::INT)')} AS c FROM ({_LINES})),
+n AS (SELECT doc_id, pos, head, CASE WHEN regexp_matches(c, '^第\s*\d+\s*页.*$') OR regexp_matches(c, '^\d+$') OR regexp_matches(c, '^[-=_]{{3,}}$') THEN '' ELSE c END AS c FROM l)
+SELECT doc_id, pos, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS type, c AS content FROM n WHERE (head AND c <> '') OR length(c) >= 10""")
+def postprocessed_paragraphs(spark, sf):
+    """Line starts of growing length, each fourth as a heading."""
+    l = _lines(spark, sf).withColumn("content", F.expr("substring(content, 1, 5 + pos % 30)"))
+    return M.postprocessed(l.select("doc_id", "pos", F.when(F.col("pos") % 4 == 0, "heading").otherwise("paragraph").alias("type"), "content"))
+
+
+@query(f"""SELECT count(*) FILTER (length(text) > 300) AS total_processed, count(*) FILTER (length(text) <= 300) AS total_errors, count(*) FILTER (length(text) > 300 AND doc_id % 3 = 0)::BIGINT AS fallback_used,
+ round(avg(ceil(length(text) / 300.0::DOUBLE)) FILTER (length(text) > 300), 6) AS mean_chunks, round(count(*) FILTER (length(text) > 300) / count(*)::DOUBLE, 6) AS success_rate FROM documents""")
+def processing_statistics(spark, sf):
+    """Windows of longer documents, every third said to be a fallback."""
+    docs = _docs(spark, sf)
+    c = C.window_chunks(docs.filter(F.length("text") > 300), 300).withColumn("processing_mode", F.when(F.col("doc_id") % 3 == 0, "fallback_text").otherwise("greedy"))
+    return run_statistics(docs, c).withColumns({k: F.round(k, 6) for k in ("mean_chunks", "success_rate")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.operators.folds import markdown_rows, parse_table
+from quernstone.sources import pdf
 
-SUPPORTED = (".txt", ".md", ".docx", ".xlsx", ".pptx")
-#: Known to callers, not readable here: each needs a library of its own.
-NEEDS_LIBRARY = (".pdf", ".doc", ".xls")
+SUPPORTED = (".txt", ".md", ".docx", ".xlsx", ".pptx", ".pdf")
+#: Known to callers, not readable here: each needs a library of its own, or a parser from the caller.
+NEEDS_LIBRARY = (".doc", ".xls")
+Parser = Callable[[bytes], str]
 SCHEMA = "doc_id long, path string, format string, markdown string, n_tables int, images array<struct<filename:string,size:long,format:string>>, properties map<string,string>, error string"
 _MAGIC = ((b"\x89PNG\r\n\x1a\n", "png"), (b"\xff\xd8\xff", "jpg"), (b"GIF8", "gif"), (b"BM", "bmp"), (b"RIFF", "webp"), (b"II*\0", "tiff"), (b"MM\0*", "tiff"))
 _LEAST_IMAGE = 100
@@ -170,13 +172,17 @@ def pptx_markdown(z: zipfile.ZipFile) -> tuple[str, int]:
     return "\n\n".join(out), 0
 
 
-def parse(path: str, data: bytes) -> dict:
-    """One file's row; what can't be read has an error instead of markdown."""
+def parse(path: str, data: bytes, parsers: dict[str, Parser] | None = None) -> dict:
+    """One file's row; what can't be read has an error instead of markdown. ``parsers`` by suffix go before the own ones."""
     kind = re.search(r"\.[^./\\]+$", path.lower())
     kind = kind[0] if kind else ""
     row = {"path": path, "format": kind, "markdown": None, "n_tables": 0, "images": [], "properties": {}, "error": None}
     try:
-        if kind in (".txt", ".md"):
+        if parsers and kind in parsers:
+            row["markdown"] = parsers[kind](data)
+        elif kind == ".pdf":
+            row["markdown"], row["n_tables"], row["properties"] = pdf.markdown(data)
+        elif kind in (".txt", ".md"):
             row["markdown"], row["n_tables"] = text_markdown(data) if kind == ".txt" else (decoded(data), 0)
         elif kind in SUPPORTED:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -190,16 +196,47 @@ def parse(path: str, data: bytes) -> dict:
     return row
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(parsers: dict[str, Parser] | None):
     image = pa.struct([("filename", pa.string()), ("size", pa.int64()), ("format", pa.string())])
     kinds = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("format", pa.string()), ("markdown", pa.string()), ("n_tables", pa.int32()), ("images", pa.list_(image)), ("properties", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
-    for batch in batches:
-        rows = [{"doc_id": d} | parse(p, c.as_py()) for d, p, c in zip(batch["doc_id"].to_pylist(), batch["path"].to_pylist(), batch["content"])]
-        rows = [r | {"properties": list(r["properties"].items())} for r in rows]
-        yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"doc_id": d} | parse(p, c.as_py(), parsers) for d, p, c in zip(batch["doc_id"].to_pylist(), batch["path"].to_pylist(), batch["content"])]
+            yield pa.RecordBatch.from_pylist([r | {"properties": list(r["properties"].items())} for r in rows], kinds)
+
+    return run
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files under ``path``, a row each; doc_id is a hash of the path."""
+def _binary(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", "content").mapInArrow(_parsed, SCHEMA)
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", "content")
+
+
+def read_files(spark: SparkSession, path: str, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """Files under ``path``, a row each; doc_id is a hash of the path. Files that can't be read are rows with an error.
+
+    ``parsers`` maps suffixes such as ".doc" to functions from bytes to markdown, which run in the workers.
+    """
+    return _binary(spark, path).mapInArrow(_parsed(parsers), SCHEMA)
+
+
+_IMAGES = "doc_id long, path string, filename string, format string, position int, size long, data binary"
+
+
+def _pictures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("filename", pa.string()), ("format", pa.string()), ("position", pa.int32()), ("size", pa.int64()), ("data", pa.binary())])
+    for batch in batches:
+        for d, path, content in zip(batch["doc_id"].to_pylist(), batch["path"].to_pylist(), batch["content"]):
+            rows: list[dict] = []
+            if zipfile.is_zipfile(data := io.BytesIO(content.as_py())):
+                with zipfile.ZipFile(data) as z:
+                    for n in z.namelist():
+                        if re.match(r"(word|xl|ppt)/media/", n) and (kind := image_format(raw := z.read(n))) and len(raw) >= _LEAST_IMAGE:
+                            rows.append({"doc_id": d, "path": path, "filename": n.rsplit("/", 1)[-1], "format": kind, "position": len(rows), "size": len(raw), "data": raw})
+            yield pa.RecordBatch.from_pylist(rows, kinds)
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Images within the office files under ``path``, with their bytes, a row each; position counts them within a file."""
+    return _binary(spark, path).mapInArrow(_pictures, _IMAGES)

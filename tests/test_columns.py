@@ -147,13 +147,25 @@ def folder(tmp_path):
     with zipfile.ZipFile(tmp_path / "e.pptx", "w") as z:
         z.writestr("ppt/slides/slide1.xml", "<p><sp><p><t>Hello</t><t> slide</t></p></sp><sp/></p>")
     (tmp_path / "f.docx").write_bytes(b"broken")
+    import zlib
+
+    page = zlib.compress(b"BT /F1 12 Tf 72 700 Td (SUMMARY OF PARTS) Tj 0 -40 Td (First line of text that goes) Tj 0 -14 Td [(on \\(he) 20 (re\\)) -300 (in a) -250 (second one.)] TJ ET")
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/Count 1>>", b"<</Type/Page/Parent 2 0 R/Contents 4 0 R>>", b"<</Length %d/Filter/FlateDecode>>stream\n" % len(page) + page + b"\nendstream", b"<</Title <FEFF005400E9>>>"]
+    body = b"".join(b"%d 0 obj\n" % k + o + b"\nendobj\n" for k, o in enumerate(objects, 1))
+    (tmp_path / "g.pdf").write_bytes(b"%PDF-1.4\n" + body + b"trailer<</Root 1 0 R/Info 5 0 R>>")
     return str(tmp_path)
 
 
 def test_files(spark, folder):
     got = {r.path.rsplit("/", 1)[-1]: r for r in files.read_files(spark, folder).collect()}
     assert got["a.txt"].markdown.startswith("第一段") and got["a.txt"].n_tables == 1
-    assert "library" in got["b.pdf"].error and got["f.docx"].error and got["f.docx"].markdown is None
+    assert "PDF" in got["b.pdf"].error and got["f.docx"].error and got["f.docx"].markdown is None
+    assert got["g.pdf"].markdown == "## SUMMARY OF PARTS\n\nFirst line of text that goes on (here) in a second one." and got["g.pdf"].properties == {"title": "Té", "page_count": "1"}
+    with_own = {r.path.rsplit("/", 1)[-1]: r for r in files.read_files(spark, folder, {".pdf": lambda data: f"{len(data)} bytes"}).collect()}
+    assert with_own["b.pdf"].error is None and with_own["b.pdf"].markdown.endswith(" bytes")
+    pictures = files.read_images(spark, folder).collect()
+    assert [(p.path.rsplit("/", 1)[-1], p.filename, p.format, p.position) for p in pictures] == [("c.docx", "i.png", "png", 0)] and bytes(pictures[0].data).startswith(b"\x89PNG")
+    assert {r.path.rsplit("/", 1)[-1] for r in Chunker().failures(spark, folder).collect()} == {"b.pdf", "f.docx"}
     assert got["c.docx"].markdown.split("\n\n")[:3] == ["# Top", "First paragraph here", "1. item"] and "| h |" in got["c.docx"].markdown
     assert [i.format for i in got["c.docx"].images] == ["png"] and got["c.docx"].properties == {"title": "T"}
     assert "| 8500.5 | 1990-05-15 | 2020-03-01 09:00:00 |" in got["d.xlsx"].markdown and got["d.xlsx"].markdown.startswith("## People")
@@ -178,6 +190,7 @@ def test_facade_sinks_and_stream(spark, folder, tmp_path_factory):
     stream_chunks(stream, f"{where}/s", f"{where}/c", cfg).awaitTermination(120)
     assert spark.read.parquet(f"{where}/s").select("doc_id").distinct().count() == 2
     assert health(2, 10)["status"] == "unhealthy" and health(0, 0)["status"] == "healthy"
+    assert health(0, 10, fallback=True, hit_rate=0.1)["status"] == "degraded" and len(health(0, 10, True, 0.1)["warnings"]) == 2
 
 
 def test_embedding_cache(spark, tmp_path_factory):
@@ -194,7 +207,15 @@ def test_embedding_cache(spark, tmp_path_factory):
     ask(["delta"], now + timedelta(seconds=40))
     assert {r.text for r in cache.table(now + timedelta(seconds=41)).collect()} == {"beta", "gamma", "delta"}
     assert {r.text for r in cache.table(now + timedelta(seconds=75)).collect()} == {"gamma", "delta"}
+    again = EmbeddingCache(spark, cache.path, max_size=3, ttl_seconds=60)
+    assert again.generation == cache.generation
+    from quernstone.functions import vectors
+
+    vectors.register_embedder("ones", lambda c: F.array(F.lit(1.0), F.lit(1.0)))
+    one = again.embed(spark.createDataFrame([("gamma",)], "c string"), "c", "ones", now=now).first()
+    assert list(one.embedding) == [1, 1] and again.misses == 1
     cache.clear()
+    assert EmbeddingCache(spark, cache.path).generation == 0
     assert cache.stats()["size"] == 0
 
 
@@ -219,3 +240,20 @@ def test_document_metadata(spark):
     docs = spark.createDataFrame([(1, "some text that is long enough", "web", 3)], "doc_id long, text string, source string, level int")
     out = chunks.attach_metadata(chunks.chunk_documents(docs), docs, "source", "level").collect()
     assert out and all(r.metadata["source"] == "web" and r.metadata["level"] == "3" for r in out)
+
+
+def test_key_phrases_drop_whole_words_only(spark):
+    from quernstone.operators.phrases import key_phrases
+
+    docs = spark.createDataFrame([(1, "上海人民。上海我们")], "doc_id long, text string")
+    assert [r.phrase for r in key_phrases(docs, language="zh").orderBy("rank").collect()] == ["上海", "海人", "人民", "海我"]
+    assert "上海" not in [r.phrase for r in key_phrases(docs, language="zh", stop=["上海"]).collect()]
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("x", "A text that is long enough.")], "doc_id string, text string")
+    assert [(r.doc_id, r.content) for r in Chunker().texts(docs).collect()] == [("x", "A text that is long enough.")]
+    with pytest.raises(ValueError):
+        from quernstone.operators.chunks import optimised
+
+        optimised(docs.selectExpr("doc_id", "0 AS chunk_id", "text AS content"), ChunkConfig(), "polish")
