@@ -210,7 +210,7 @@ def summary_by_kind(spark, sf):
     return Q.summary(c).withColumn("average_chunk_size", F.round("average_chunk_size", 6))
 
 
-@query(f"""WITH l AS (SELECT doc_id, pos, pos % 4 = 0 AS head, {_sql_flat('substring(content, 1, (5 + pos % 30)::INT)')} AS c FROM ({_LINES})),
+@query(rf"""WITH l AS (SELECT doc_id, pos, pos % 4 = 0 AS head, {_sql_flat('substring(content, 1, (5 + pos % 30)::INT)')} AS c FROM ({_LINES})),
 n AS (SELECT doc_id, pos, head, CASE WHEN regexp_matches(c, '^第\s*\d+\s*页.*$') OR regexp_matches(c, '^\d+$') OR regexp_matches(c, '^[-=_]{{3,}}$') THEN '' ELSE c END AS c FROM l)
 SELECT doc_id, pos, CASE WHEN head THEN 'heading' ELSE 'paragraph' END AS type, c AS content FROM n WHERE (head AND c <> '') OR length(c) >= 10""")
 def postprocessed_paragraphs(spark, sf):
