@@ -2,7 +2,8 @@
 
 The container is RIFF with an ``idx1`` index. Frames are intra-only JPEG: lossless process 14 (SOF3) with predictor 1
 is written and read; its Huffman table gives a difference of category s a code of 9 - s bits, so that each sample takes
-nine bits and whole frames are packed and unpacked as arrays. Other tables are read bit by bit. Shots are cut where the
+nine bits and whole frames are packed and unpacked as arrays. Other tables are read bit by bit, and baseline frames as
+``jpeg`` does. Files of several RIFF segments are read whole. Shots are cut where the
 histogram distance between neighbouring frames stands out from those before it in the same shot.
 """
 
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm.common import small_batches, table, text_or_empty, trimmed
+from quernstone.llm.jpeg import luma as jpeg_luma
 
 WIDTH, HEIGHT, FPS = 64, 16, 25
 UNIT = 64
@@ -39,7 +41,12 @@ def _head(h: int, w: int) -> bytes:
 
 
 def encode_frames(payload: bytes, width: int = WIDTH, height: int = HEIGHT) -> list[bytes]:
-    """The payload (a positive multiple of ``width`` bytes) as lossless JPEG frames; the last may have fewer rows."""
+    """The payload (a positive multiple of ``width`` bytes) as lossless JPEG frames; the last may have fewer rows.
+
+    ``width`` is a multiple of 8, so that rows end at bytes and no bits need filling.
+    """
+    if width % 8 or not payload or len(payload) % width:
+        raise ValueError("payloads are rows of a multiple of 8 bytes")
     x = np.frombuffer(payload, np.uint8).reshape(-1, width).astype(np.int16)
     d = np.empty_like(x)
     d[:, 1:] = x[:, 1:] - x[:, :-1]
@@ -67,19 +74,27 @@ def write_avi(frames: list[bytes], width: int = WIDTH, height: int = HEIGHT, fps
 
 
 def read_avi(data: bytes) -> tuple[list[bytes], float]:
-    """The video frames by the index (by a walk over ``movi`` where there is none), and frames per second."""
+    """The video frames by the index (by a walk over ``movi`` where there is none), and frames per second.
+
+    Further RIFF segments (AVIX) follow the first; their frames are found by a walk.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    fps, movi, index, at = float(FPS), None, b"", 12
+    fps, movi, end, index, at, more = float(FPS), None, 0, b"", 12, []
     while at + 8 <= len(data):
         kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if kind == b"LIST" and data[at + 8 : at + 12] == b"hdrl":
             if (k := data.find(b"strh", at, at + 8 + size)) >= 0:
                 scale, rate = struct.unpack_from("<II", data, k + 8 + 20)
                 fps = rate / scale if scale else fps
+        elif kind == b"RIFF" and data[at + 8 : at + 12] == b"AVIX":
+            at += 12
+            continue
         elif kind == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = at + 8
-            end = movi + size
+            if movi is None:
+                movi, end = at + 8, at + 8 + size
+            else:
+                more.append((at + 8, at + 8 + size))
         elif kind == b"idx1":
             index = data[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
@@ -88,14 +103,24 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
     if index:
         rows = [r for r in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]) if r[0][2:] in (b"dc", b"db")]
         base = movi if rows and data[movi + rows[0][2] : movi + rows[0][2] + 4] == rows[0][0] else 0
-        return [data[base + o + 8 : base + o + 8 + n] for _, _, o, n in rows], fps
+        frames = [data[base + o + 8 : base + o + 8 + n] for _, _, o, n in rows]
+    else:
+        frames = _walked(data, movi, end)
+    return [*frames, *(f for a, b in more for f in _walked(data, a, b))], fps
+
+
+def _walked(data: bytes, movi: int, end: int) -> list[bytes]:
+    """The video frames of a ``movi`` list, those within record lists too."""
     frames, at = [], movi + 4
     while at + 8 <= min(end, len(data)):
         size = struct.unpack_from("<I", data, at + 4)[0]
+        if data[at : at + 4] == b"LIST":
+            at += 12
+            continue
         if data[at + 2 : at + 4] in (b"dc", b"db"):
             frames.append(data[at + 8 : at + 8 + size])
         at += 8 + size + (size & 1)
-    return frames, fps
+    return frames
 
 
 @lru_cache(maxsize=4096)
@@ -109,7 +134,7 @@ def _plan(head: bytes) -> tuple[int, int, np.ndarray | None, dict]:
                 raise ValueError("one component of 8 bits is read")
             h, w = struct.unpack_from(">HH", head, at + 5)
         elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            raise ValueError("lossless frames (SOF3) are read")
+            raise ValueError("lossless and baseline frames are read")
         elif kind == 0xC4:
             counts, values, code, k = head[at + 5 : at + 21], head[at + 21 : at + 2 + n], 0, 0
             for length, m in enumerate(counts, 1):
@@ -144,8 +169,20 @@ def _slow(bits: np.ndarray, n: int, codes: dict) -> np.ndarray:
     return out
 
 
+def _frame_kind(jpeg: bytes) -> int | None:
+    """The marker of the frame header; None if the scan or the end comes first."""
+    at = 2
+    while at + 4 <= len(jpeg) and (kind := jpeg[at + 1]) != 0xDA:
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return kind
+        at += 2 + struct.unpack_from(">H", jpeg, at + 2)[0]
+    return None
+
+
 def decode_frame(jpeg: bytes) -> np.ndarray:
-    """The samples of one frame, height by width."""
+    """The samples of one frame, height by width; of a baseline frame those of its first component."""
+    if _frame_kind(jpeg) in (0xC0, 0xC1):
+        return jpeg_luma(jpeg)
     scan = jpeg.index(b"\xff\xda")
     start = scan + 2 + struct.unpack_from(">H", jpeg, scan + 2)[0]
     h, w, table9, codes = _plan(jpeg[:scan])

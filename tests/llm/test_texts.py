@@ -58,6 +58,110 @@ def test_any_bytes_and_other_tables():
         avi.read_avi(b"RIFF    WAVE")
 
 
+def baseline(planes, factors, every=0):
+    """A baseline JPEG of planes whose sides fill their blocks, with codes of one length: 4 bits for DC, 8 for AC symbols."""
+    import struct
+
+    k = np.arange(8)
+    cosine = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)[:, None]
+    zigzag, row, column = [], 0, 0
+    for _ in range(64):
+        zigzag.append(8 * row + column)
+        if (row + column) % 2 == 0:
+            row, column = (row + 1, 7) if column == 7 else (max(row - 1, 0), column + 1)
+        else:
+            row, column = (7, column + 1) if row == 7 else (row + 1, max(column - 1, 0))
+    symbols = [0x00, 0xF0, *(r << 4 | s for r in range(16) for s in range(1, 11))]
+
+    def number(x):
+        n = abs(x).bit_length()
+        return format(x if x > 0 else x + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def block(b, before):
+        x = np.rint(cosine @ (b.astype(float) - 128) @ cosine.T).astype(int).ravel()[zigzag].tolist()
+        bits, run = format(abs(x[0] - before).bit_length(), "04b") + number(x[0] - before), 0
+        for v in x[1:]:
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                bits, run = bits + format(symbols.index(0xF0), "08b"), run - 16
+            bits, run = bits + format(symbols.index(run << 4 | abs(v).bit_length()), "08b") + number(v), 0
+        return bits + (format(0, "08b") if run else ""), x[0]
+
+    most_h, most_v = max(f[0] for f in factors), max(f[1] for f in factors)
+    height, width = planes[0].shape
+    scan, bits, before = b"", "", [0] * len(planes)
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+    across, down = width // (8 * most_h), height // (8 * most_v)
+    for mcu in range(across * down):
+        if every and mcu and mcu % every == 0:
+            scan, bits, before = scan + flush(bits) + bytes([0xFF, 0xD0 + (mcu // every - 1) % 8]), "", [0] * len(planes)
+        for c, (p, (h, v)) in enumerate(zip(planes, factors)):
+            for y in range(v):
+                for x in range(h):
+                    a, b = 8 * (mcu // across * v + y), 8 * (mcu % across * h + x)
+                    more, before[c] = block(p[a : a + 8, b : b + 8], before[c])
+                    bits += more
+    segment = lambda kind, body: bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+    head = b"\xff\xd8" + segment(0xE0, b"AVI1") + segment(0xDB, b"\0" + b"\1" * 64)
+    head += segment(0xC0, struct.pack(">BHHB", 8, height, width, len(planes)) + b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(factors)))
+    head += segment(0xC4, b"\x00" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12)) + b"\x10" + bytes([0] * 7 + [len(symbols)] + [0] * 8) + bytes(symbols))
+    head += segment(0xDD, struct.pack(">H", every)) if every else b""
+    return head + segment(0xDA, bytes([len(planes)]) + b"".join(bytes([c + 1, 0]) for c in range(len(planes))) + b"\0\x3f\0") + scan + flush(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("factors", "every"), [([(1, 1)], 0), ([(1, 1)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2)])
+def test_baseline_frames(factors, every):
+    rng = np.random.default_rng(8)
+    y, x = np.mgrid[:32, :48]
+    light = np.clip(128 + 90 * np.sin(x / 7) * np.cos(y / 5) + rng.normal(0, 12, (32, 48)), 0, 255).astype(np.uint8)
+    most_h, most_v = max(f[0] for f in factors), max(f[1] for f in factors)
+    planes = [light, *(rng.integers(0, 255, (32 // most_v, 48 // most_h), np.uint8) for _ in factors[1:])]
+    frame = baseline(planes, factors, every)
+    got = avi.decode_frame(frame)
+    assert got.shape == light.shape and np.abs(got.astype(int) - light).max() <= 2
+    for at in (frame.index(b"\xff\xc0"), frame.index(b"\xff\xc4")):
+        with pytest.raises(ValueError):
+            avi.decode_frame(frame[:at] + (b"\xff\xc2" if frame[at + 1] == 0xC0 else b"\xff\xfe") + frame[at + 2 :])
+    first = avi.write_avi([frame, frame])
+    second = avi.write_avi([frame])
+    second = second[:8] + b"AVIX" + second[12:].replace(b"idx1", b"JUNK")
+    assert avi.read_avi(first + second)[0] == [frame] * 3
+
+
+def test_media_digest_against_plain_reading(docs):
+    """All columns from the stored bytes, read without the operator's reader."""
+    import hashlib
+    import zlib
+
+    stored = {(r.doc_id, r.n_bytes): bytes(r.media) for r in avi.media_column(docs).collect()}
+    for r in avi.media_column(docs).mapInArrow(avi._digest, avi._DIGEST).collect():
+        data = stored[r.doc_id, r.n_bytes]
+        text = next(t or "" for i, t in enumerate(ODD) if (None if i == 3 else i) == r.doc_id).encode()
+        payload = text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text))
+        frames = -(-len(payload) // 1024)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest())
+        assert r.n_frames == frames == data.count(b"00dc") // 2 and r.feature.startswith(f"{frames} frames; clips from 0.00")
+        pictures = [payload[i : i + 1024] for i in range(0, len(payload), 1024)]
+        share = [[sum(b >> 4 == k for b in p) / len(p) for k in range(16)] for p in pictures]
+        far = [sum(abs(a - b) for a, b in zip(x, y)) for x, y in zip(share, share[1:])]
+        cuts, seen = [0], []
+        for k, x in enumerate(far, 1):
+            last = np.array(seen[-8:])
+            if x > 0.25 and (not len(last) or x > last.mean() + 2 * last.std()):
+                cuts, seen = [*cuts, k], []
+            else:
+                seen.append(x)
+        assert r.n_clips == len(cuts) and r.feature.split("from ")[1] == ",".join(f"{c / 25:.2f}" for c in cuts)
+    assert avi.media_column(docs.limit(0)).collect() == []
+
+
 def test_clips(spark):
     still = [np.full((16, 64), 10, np.uint8)] * 5 + [np.full((16, 64), 200, np.uint8)] * 4
     assert avi.clips(still) == [(0, 4, 0.0, 0.2), (5, 8, 0.2, 0.36)]
