@@ -1,9 +1,10 @@
 """Language of web pages by Bayesian evidence fusion (operator 5).
 
-Likelihoods of the visible text (byte trigrams, trained on the labelled documents), of the declared ``lang`` attribute
-and of a country suffix are multiplied with a prior of the page's host. Host priors are soft counts of all other pages'
-text posteriors, by grouped aggregation, smoothed towards the registered domain, that towards the last label of the
-address and that towards all pages.
+Likelihoods of the visible text (byte trigrams, trained on the labelled documents) and of the declared language are
+multiplied with a prior of the page's host. Host priors are soft counts of all other pages' text posteriors, by grouped
+aggregation, smoothed towards the registered domain, that towards the address suffix and that towards all pages as the
+suffix's country turns them: a suffix counts once. How far a declaration can be trusted is counted likewise, by declared
+and found language.
 """
 
 from __future__ import annotations
@@ -21,10 +22,22 @@ from quernstone.llm.common import table, text_or_empty, trimmed, written
 
 #: Buckets of hashed trigrams; trigrams of a text that count in full, longer texts being no more certain.
 BUCKETS, FULL = 8192, 60.0
-#: Chance that a declared language and a country suffix are right; pages that a level's parent counts for.
+#: Chance that a declared language and a country suffix are right before pages are counted, and the pages that this, or
+#: a level's parent, counts for.
 DECLARED, SUFFIX, WEIGHT = 0.85, 0.7, 5.0
-#: Languages of country suffixes (fixed values).
-COUNTRIES = {"at": "de", "au": "en", "ar": "es", "cl": "es", "co": "es", "de": "de", "es": "es", "fr": "fr", "ie": "en", "mx": "es", "nz": "en", "pe": "es", "uk": "en", "us": "en"}
+#: Country suffixes by main language (fixed values).
+SUFFIXES = {
+    "ar": "ae bh dz eg iq jo kw lb ly ma om qa sa sy tn ye", "bg": "bg", "cs": "cz", "da": "dk", "de": "at de li", "el": "cy gr", "en": "au ie nz uk us", "es": "ar bo cl co cr cu do ec es gt hn mx ni pa pe py sv uy ve",
+    "et": "ee", "fa": "ir", "fi": "fi", "fr": "bj ci cm fr ga mc ml sn tg", "he": "il", "hi": "in", "hr": "hr", "hu": "hu", "id": "id", "is": "is", "it": "it sm va", "ja": "jp", "ko": "kr", "lt": "lt", "lv": "lv", "ms": "my",
+    "nl": "nl sr", "no": "no", "pl": "pl", "pt": "ao br mz pt", "ro": "md ro", "ru": "by kz ru su", "sk": "sk", "sl": "si", "sr": "rs", "sv": "se", "th": "th", "tr": "tr", "uk": "ua", "vi": "vn", "zh": "cn hk tw",
+}
+COUNTRIES = {tld: lang for lang, tlds in SUFFIXES.items() for tld in tlds.split()}
+#: Where a page declares its language, the first that does counts.
+_DECLARATIONS = (
+    r"(?i)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]+)",
+    r"(?i)<meta\b[^>]*?(?:http-equiv|name)\s*=\s*[\"']?(?:content-)?language\b[^>]*?\scontent\s*=\s*[\"']?([A-Za-z]+)",
+    r"(?i)<meta\b[^>]*?\scontent\s*=\s*[\"']?([A-Za-z]+)[^>]*?(?:http-equiv|name)\s*=\s*[\"']?(?:content-)?language\b",
+)
 
 _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
 
@@ -97,7 +110,7 @@ def classify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     names, model = train(docs)
     k = len(names)
     host, domain, tld = _address(text_or_empty("url"))
-    declared = F.lower(F.regexp_extract(text_or_empty("html"), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    declared = F.lower(F.coalesce(*[F.nullif(F.regexp_extract(text_or_empty("html"), d, 1), F.lit("")) for d in _DECLARATIONS], F.lit("")))
     asked = pages.select("page_id", host.alias("host"), domain.alias("domain"), tld.alias("tld"), declared.alias("declared"), "html")
     own = asked.mapInArrow(trimmed(_text_posteriors(names, model)), "page_id long, host string, domain string, tld string, declared string, p array<double>")
     if not k:
@@ -111,21 +124,38 @@ def classify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     chain = hosts.join(domains, ["tld", "domain"]).join(tlds, "tld")
     known = own.join(chain, ["tld", "domain", "host"])
     known = known.withColumns({"n_all": F.lit(every["n_all"] or 0), "c_all": F.array(*[F.lit(float(x or 0)) for x in every["c_all"]])})
-    prior = F.array(*[F.lit(1.0 / k)] * k)
-    for level in ("all", "tld", "domain", "host"):
-        prior = _smoothed(level, prior)
-    others = (1 - DECLARED) / max(1, k - 1)
-    said = [F.when(~F.col("declared").isin(names), 1.0).when(F.col("declared") == x, DECLARED).otherwise(others) for x in names]
+    prior = _smoothed("all", F.array(*[F.lit(1.0 / k)] * k))
     country = F.coalesce(F.create_map(*[F.lit(y) for x in COUNTRIES.items() for y in x])[F.col("tld")], F.lit(""))
-    suffix = [F.when(~country.isin(names), 1.0).when(country == x, SUFFIX).otherwise((1 - SUFFIX) / max(1, k - 1)) for x in names]
-    fused = known.withColumn("prior", prior)
-    fused = fused.withColumn("joint", F.array(*[F.col("p")[i] * F.col("prior")[i] * said[i] * suffix[i] for i in range(k)]))
+    suffix = F.array(*[F.when(~country.isin(names), 1.0).when(country == x, SUFFIX).otherwise((1 - SUFFIX) / max(1, k - 1)) for x in names])
+    known = known.withColumn("above", F.zip_with(prior, suffix, lambda x, y: x * y))
+    prior = F.transform("above", lambda x: x / F.aggregate("above", F.lit(0.0), lambda a, y: a + y))
+    for level in ("tld", "domain", "host"):
+        prior = _smoothed(level, prior)
+    fused = known.withColumns({"prior": prior, "said": _declaration(own, names)})
+    fused = fused.withColumn("joint", F.array(*[F.col("p")[i] * F.col("prior")[i] * F.col("said")[i] for i in range(k)]))
     total = F.aggregate("joint", F.lit(0.0), lambda a, x: a + x)
     fused = fused.withColumn("posterior", F.transform("joint", lambda x: x / total))
     label = lambda c: F.element_at(F.array(*map(F.lit, names)), F.array_position(c, F.array_max(c)).cast("int"))
     return fused.select("page_id", label(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("confidence"), label(F.col("p")).alias("text_lang"), "declared", "host", "posterior")
 
 
+def _declaration(pages: DataFrame, names: list[str]) -> Column:
+    """Chance of a page's declared language given each language: soft counts of all other pages, drawn towards DECLARED.
+
+    A row per known language reaches the driver.
+    """
+    k = len(names)
+    rows = pages.filter(F.col("declared").isin(names)).groupBy("declared").agg(*[F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(k)]).collect()
+    counts = {r["declared"]: [r[f"c{i}"] for i in range(k)] for r in rows}
+    every = [sum(c[i] for c in counts.values()) for i in range(k)]
+    base = lambda d, i: DECLARED if d == names[i] else (1 - DECLARED) / max(1, k - 1)
+    chance = lambda d, i: (F.greatest(F.lit(c[i]) - F.col("p")[i], F.lit(0.0)) + WEIGHT * base(d, i)) / (F.greatest(F.lit(every[i]) - F.col("p")[i], F.lit(0.0)) + WEIGHT)
+    said = F.lit(None).cast("array<double>")
+    for d, c in sorted(counts.items()):
+        said = F.when(F.col("declared") == d, F.array(*[chance(d, i) for i in range(k)])).otherwise(said)
+    return F.coalesce(said, F.array(*[F.lit(1.0)] * k))
+
+
 def _smoothed(level: str, above: Column) -> Column:
     """A level's share of each language without the page's own, drawn towards the level above."""
     n, three = F.col(f"n_{level}"), F.arrays_zip(F.col(f"c_{level}").alias("c"), F.col("p").alias("p"), above.alias("q"))

@@ -237,6 +237,69 @@ def test_isotonic():
     assert np.allclose(np.interp(np.arange(60.0), at, value), want)
 
 
+def fused(pages, texts):
+    """(page_id, posterior) by plain sums over lists of (page_id, url, html) and (lang, text)."""
+    import html
+    import math
+    import re
+
+    def grams(t):
+        b = " ".join(t.lower().split()).encode()
+        return collections.Counter((((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1) % 2**32) >> 19 for i in range(len(b) - 2))
+
+    names = sorted({n for n, _ in texts if n})
+    seen = {n: sum((grams(t or "") for m, t in texts if m == n), collections.Counter()) for n in names}
+    total = {n: sum(seen[n].values()) + 0.5 * 8192 for n in names}
+    rows = []
+    for page_id, url, page in pages:
+        c = grams(html.unescape(re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", page or "")))
+        n = sum(c.values())
+        s = [sum(v * math.log((seen[x][g] + 0.5) / total[x]) for g, v in c.items()) * min(n, 60) / max(n, 1) for x in names]
+        p = [math.exp(x - max(s)) for x in s]
+        host = (re.match(r"[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", url or "") or [""] * 2)[1].lower()
+        said = re.search(r"(?i)<html[^>]*?\s(?:xml:)?lang=['\"]?([a-z]+)", page or "") or re.search(r"(?i)<meta http-equiv='content-language' content='([a-z]+)", page or "")
+        labels = host.split(".")
+        rows.append((page_id, labels[-1], ".".join(labels[-2:]) if len(labels) > 1 else "", host, said[1].lower() if said else "", [x / sum(p) for x in p]))
+    out = []
+    for r, (page_id, tld, domain, host, said, p) in enumerate(rows):
+        def level(above, same):
+            others = [q[5] for j, q in enumerate(rows) if j != r and same(q)]
+            return [(sum(q[i] for q in others) + 5 * a) / (len(others) + 5) for i, a in enumerate(above)]
+
+        prior = level([1 / len(names)] * len(names), lambda q: True)
+        country = {"de": "de", "fr": "fr", "uk": "en", "mx": "es"}.get(tld)
+        if country in names:
+            prior = [x * (0.7 if n == country else 0.3 / (len(names) - 1)) for x, n in zip(prior, names)]
+            prior = [x / sum(prior) for x in prior]
+        for at in (1, 2, 3):
+            prior = level(prior, lambda q: q[1 : 1 + at] == (tld, domain, host)[:at])
+        joint = [a * b for a, b in zip(p, prior)]
+        if said in names:
+            for i, n in enumerate(names):
+                others = [q for j, q in enumerate(rows) if j != r and q[4] in names]
+                here = sum(q[5][i] for q in others if q[4] == said)
+                joint[i] *= (here + 5 * (0.85 if n == said else 0.15 / (len(names) - 1))) / (sum(q[5][i] for q in others) + 5)
+        out.append((page_id, [x / sum(joint) for x in joint]))
+    return out
+
+
+def test_language_against_plain_sums(spark):
+    r = random.Random(9)
+    words = {"de": "der und ist nicht ein", "en": "the and is not a", "fr": "le et est pas un"}
+    texts = [(n, " ".join(r.choice(w.split()) for _ in range(60))) for n, w in words.items()] + [(None, "x y z"), ("en", None)]
+    pages = []
+    for i in range(40):
+        n = r.choice(list(words))
+        body = " ".join(r.choice(words[n].split()) for _ in range(r.choice([0, 2, 8, 40])))
+        head = r.choice(["<html>", f"<html lang='{n}'>", "<html xml:lang='fr'>", "<html lang=xx>", f"<html><meta http-equiv='content-language' content='{n}'>"])
+        host = r.choice(["a.news.de", "b.news.de", "c.org", "shop.co.uk", "x.fr", ""])
+        pages.append((i, f"https://{host}/p" if host else None, f"{head}<p>{body}&eacute;</p><script>der der</script>"))
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    got = {x.page_id: x.posterior for x in language_id.classify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    want = dict(fused(pages, texts))
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-6) for i in want)
+
+
 def test_language_id(spark):
     sf = "/root/testdata/sf0.01"
     docs, pages = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "pages"))
