@@ -9,6 +9,7 @@ To keep this off one machine, windows of LENGTH bytes are dealt by the least has
 windows have equal least hashes and meet in one part. Runs of windows with one least hash travel together as a short
 context, only where another document has that hash, and once per block of documents however often the block holds them.
 A passage that a third of all documents share so costs a part one context per block, not one per document.
+Several parts travel as one group, so that blocks send few and long messages, and are worked on one after another.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ RUN = LENGTH - GRAM + 1
 PAD = -(-(RUN - 1 + LENGTH) // 8) * 8
 #: Bytes of text in a block of documents, in a part (by share of least hashes) and in a step of hashing.
 BLOCK, PART, STEP = 8_000_000, 2_500_000, 1_000_000
+#: Parts in a group: a block sends one message to each group.
+GROUP = 8
 
 _LAST = 2**63 - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -108,25 +112,25 @@ class Block:
 
 
 def _hashes(parts: int):
-    """Per block and part, the distinct least hashes, five bytes of each (the part is known from the top bits)."""
+    """Per block and group of parts, the distinct least hashes, five bytes of each (the group is known from the top bits)."""
 
     def run(t: pa.Table) -> pa.Table:
         *_, distinct, part, _, _ = Block(t).keys(parts)
         five = (distinct & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
-        full, cut = np.unique(part, return_index=True)
-        return pa.table({"part": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), t["block"][0].as_py()), pa.int64()), "h": pa.array([x.tobytes() for x in np.split(five, cut[1:])][: len(full)], pa.binary())})
+        full, cut = np.unique(part // GROUP, return_index=True)
+        return pa.table({"parts": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), t["block"][0].as_py()), pa.int64()), "h": pa.array([x.tobytes() for x in np.split(five, cut[1:])][: len(full)], pa.binary())})
 
     return run
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    """Which of a part's hashes other blocks have too, as bits for each block."""
+    """Which of a group's hashes other blocks have too, as bits for each block."""
     raw = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5) for x in t["h"]]
     wide = np.zeros((sum(map(len, raw)), 8), np.uint8)
     wide[:, :5] = np.concatenate(raw)
     _, inverse, n = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
     bits = np.split(n[inverse] > 1, np.cumsum([len(x) for x in raw])[:-1])
-    return pa.table({"block": t["block"], "part": t["part"], "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
+    return pa.table({"block": t["block"], "parts": t["parts"], "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
 
 def _matrix(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -149,12 +153,13 @@ def _alike(m: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[first, odd], inverse
 
 
-_CONTEXTS = "block long, part int, docs binary, sizes binary, bytes binary, ctx binary, row binary, pos binary, end binary"
-_KINDS = pa.schema([("block", pa.int64()), ("part", pa.int32())] + [(x, pa.binary()) for x in ("docs", "sizes", "bytes", "ctx", "row", "pos", "end")])
+_SENT = ("docs", "sizes", "bytes", "ctx", "row", "pos")
+_CONTEXTS = f"block long, parts int, sent array<struct<part:int,{','.join(f'{x}:binary' for x in _SENT)}>>, row binary, pos binary, end binary"
+_KINDS = pa.schema([("block", pa.int64()), ("parts", pa.int32()), ("sent", pa.list_(pa.struct([("part", pa.int32())] + [(x, pa.binary()) for x in _SENT])))] + [(x, pa.binary()) for x in ("row", "pos", "end")])
 
 
 def _contexts(parts: int):
-    """Per block and part, the distinct contexts; in part -1, what is repeated within the block."""
+    """Per block and group of parts, the distinct contexts of each part; in group -1, what is repeated within the block."""
 
     def run(t: pa.Table, masks: pa.Table) -> pa.Table:
         import zstandard
@@ -163,8 +168,8 @@ def _contexts(parts: int):
             return _KINDS.empty_table()
         block = Block(t)
         h, doc, at, size, distinct, part, shared, inverse = block.keys(parts)
-        for p, bits in zip(masks["part"].to_pylist(), masks["bits"]):
-            a, b = np.searchsorted(part, [p, p + 1])
+        for p, bits in zip(masks["parts"].to_pylist(), masks["bits"]):
+            a, b = np.searchsorted(part, [p * GROUP, (p + 1) * GROUP])
             shared[a:b] |= np.unpackbits(np.frombuffer(bits.as_py(), np.uint8))[: b - a].astype(bool)
         take = np.flatnonzero(shared[inverse])
         doc, at, size, part = doc[take], at[take], size[take], part[inverse[take]]
@@ -176,15 +181,15 @@ def _contexts(parts: int):
         squeeze = zstandard.ZstdCompressor(level=1).compress
         rows = {x: [] for x in _KINDS.names}
 
-        def add(p: int, *binary) -> None:
-            for x, y in zip(_KINDS.names, (t["block"][0].as_py(), p, *binary)):
+        def add(p: int, *more) -> None:
+            for x, y in zip(_KINDS.names, (t["block"][0].as_py(), p, *more)):
                 rows[x].append(y)
 
         four = lambda x: np.asarray(x, np.uint32).tobytes()
         later = np.flatnonzero(~own)
         if len(later):
             r, a, b = _joined(doc[later], pos[later], pos[later] + size[later] + LENGTH - 1)
-            add(-1, None, None, None, None, four(r), four(a), four(b))
+            add(-1, None, four(r), four(a), four(b))
         by_part = np.argsort(part[first], kind="stable")
         full, edges = np.unique(part[first][by_part], return_index=True)
         edges = [*edges, len(first)]
@@ -192,12 +197,15 @@ def _contexts(parts: int):
         place[by_part] = np.arange(len(first))
         occ = np.flatnonzero(own)
         occ = occ[np.argsort(place[ctx[occ]], kind="stable")]
-        where = place[ctx[occ]]
+        where, sent = place[ctx[occ]], {}
         for p, a, b in zip(full.tolist(), edges, edges[1:]):
             f = first[by_part[a:b]]
             o = occ[np.searchsorted(where, a) : np.searchsorted(where, b)]
             inside = np.arange(PAD) < (size[f] + LENGTH - 1)[:, None]
-            add(p, block.ids[doc[f]].tobytes(), size[f].astype(np.uint8).tobytes(), squeeze(m[f][inside].tobytes()), four(place[ctx[o]] - a), four(doc[o]), four(pos[o]), None)
+            own = (block.ids[doc[f]].tobytes(), size[f].astype(np.uint8).tobytes(), squeeze(m[f][inside].tobytes()), four(place[ctx[o]] - a), four(doc[o]), four(pos[o]))
+            sent.setdefault(p // GROUP, []).append({"part": p, **dict(zip(_SENT, own))})
+        for p, parts_sent in sent.items():
+            add(p, parts_sent, None, None, None)
         return pa.table(rows, _KINDS)
 
     return run
@@ -255,6 +263,19 @@ _FOUND = "block long, row binary, pos binary, end binary"
 
 def _refined(t: pa.Table) -> pa.Table:
     """For each block that sent contexts, the intervals whose windows start in a smaller document elsewhere."""
+    sent = t["sent"].combine_chunks()
+    each = pa.Table.from_arrays([pc.take(t["block"].combine_chunks(), pc.list_parent_indices(sent)), *sent.flatten().flatten()], ["block", "part", *_SENT])
+    found: dict[int, list] = {}
+    for p in pc.unique(each["part"]):
+        for b, *intervals in _refined_part(each.filter(pc.equal(each["part"], p))):
+            found.setdefault(b, []).append(intervals)
+    joined = [(b, *(b"".join(x) for x in zip(*lists))) for b, lists in found.items()]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in joined], k) for i, k in enumerate(kinds)], names=["block", "row", "pos", "end"])
+
+
+def _refined_part(t: pa.Table) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(block, documents, starts, ends) of one part's intervals."""
     import zstandard
 
     read = zstandard.ZstdDecompressor().decompress
@@ -287,7 +308,7 @@ def _refined(t: pa.Table) -> pa.Table:
     closes = np.flatnonzero(gone & ~np.r_[same[1:] & gone[1:], False])
     runs_of = np.bincount(entry[opens], minlength=len(size))
     run_at = np.cumsum(runs_of) - runs_of
-    base, rows = np.cumsum(count) - count, {"block": [], "row": [], "pos": [], "end": []}
+    base = np.cumsum(count) - count
     for b, e0, c, row, pos in zip(t["block"].to_pylist(), base, t["ctx"], t["row"], t["pos"]):
         e, row, pos = (np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in (c, row, pos))
         e = e + e0
@@ -297,9 +318,7 @@ def _refined(t: pa.Table) -> pa.Table:
         r = np.repeat(run_at[e], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         p = np.repeat(pos, m)
         found = _joined(np.repeat(row, m), p + k[opens[r]], p + k[closes[r]] + LENGTH)
-        for x, y in zip(("block", "row", "pos", "end"), (b, *(z.astype(np.uint32).tobytes() for z in found))):
-            rows[x].append(y)
-    return pa.table(rows, pa.schema([("block", pa.int64()), ("row", pa.binary()), ("pos", pa.binary()), ("end", pa.binary())]))
+        yield b, *(z.astype(np.uint32).tobytes() for z in found)
 
 
 def _cut(t: pa.Table, found: pa.Table) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
@@ -337,13 +356,13 @@ def _without_repeats(docs: DataFrame, function, schema: str, block: int, part: i
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, parts = max(1, math.ceil(total / block)), max(1, math.ceil(total / part))
     by_block = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    hashes = by_block.groupBy("block").applyInArrow(_hashes(parts), "part int, block long, h binary")
-    masks = written(hashes.groupBy("part").applyInArrow(_shared, "block long, part int, bits binary"), "masks")
+    hashes = by_block.groupBy("block").applyInArrow(_hashes(parts), "parts int, block long, h binary")
+    masks = written(hashes.groupBy("parts").applyInArrow(_shared, "block long, parts int, bits binary"), "masks")
     release(spark)
     sent = written(by_block.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(_contexts(parts), _CONTEXTS), "contexts")
     release(spark)
-    far = sent.filter("part >= 0").groupBy("part").applyInArrow(_refined, _FOUND)
-    found = written(far.unionByName(sent.filter("part < 0").select("block", "row", "pos", "end")), "repeats")
+    far = sent.filter("parts >= 0").select("block", "parts", "sent").groupBy("parts").applyInArrow(_refined, _FOUND)
+    found = written(far.unionByName(sent.filter("parts < 0").select("block", "row", "pos", "end")), "repeats")
     release(spark)
     return by_block.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(function, schema)
 
