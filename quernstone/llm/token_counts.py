@@ -27,7 +27,7 @@ BLOCK = 8_000_000
 DISPUTED = "[՘֋֌࢏౜೜₏₝-₟꟎-꟱꭬꭭\U00010000-\U0010ffff]"
 
 #: Bytes of text that make a part of the pre-tokens.
-PART = 4_000_000
+PART = 16_000_000
 
 _BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, extra array<int>, sizes array<int>, entries binary, words array<struct<part:int,n:int,words:binary>>"
 _KINDS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("extra", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("entries", pa.binary()), ("words", pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])))])
