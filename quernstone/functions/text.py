@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ TABLE_MARK = "[表格内容]"
 IMAGE_MARK = "[IMAGE_PLACEHOLDER_"
 TABLE_WORDS = ["编号", "检查项", "描述", "项目", "内容", "序号", "名称", "说明"]
 SENTENCE_ENDS = {"zh": "[。！？；]", "en": "[.!?;]"}
+#: Characters with Unicode's property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Characters that cleaning keeps.
 KEPT = {
     "zh": r"[^\x{4e00}-\x{9fff}\x{3000}-\x{303f}A-Za-z0-9\s.,!?;:\"()（）【】\[\]<>《》]",
@@ -17,21 +21,26 @@ KEPT = {
 }
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``c``, which is evaluated once however often ``use`` names it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Unicode white space off both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+", "")
+    return F.ltrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def count_of(c: Column, part: str) -> Column:

@@ -25,16 +25,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 def text_features(c: Column) -> Column:
     """13 numbers: length, shares of ten common characters, of punctuation and of digits."""
-    n = F.greatest(F.length(c), F.lit(1)).cast("double")
-    share = lambda x: F.regexp_count(c, F.lit(x)) / n
-    return F.array((F.length(c) / F.lit(1000.0)), *[share(x) for x in COMMON], share(f"[{POINTS}]"), share(r"\p{Nd}"))
+    size = F.length(c)
+    n = F.greatest(size, F.lit(1)).cast("double")
+    without = lambda rest: (size - F.length(rest)) / n
+    marks = without(F.translate(c, POINTS, "")), F.regexp_count(c, F.lit(r"\p{Nd}")) / n
+    return F.array(size / F.lit(1000.0), *[without(F.replace(c, F.lit(x), F.lit(""))) for x in COMMON], *marks)
 
 
 def feature_cosine(a: Column, b: Column) -> Column:
     """Cosine of two features tiled to LENGTH, without the tiling."""
-    weigh = lambda v: F.zip_with(v, F.array(*[F.lit(float(r)) for r in REPEATS]), lambda x, w: x * w)
-    size = F.sqrt(dot(weigh(a), a)) * F.sqrt(dot(weigh(b), b))
-    return F.when(size > 0, dot(weigh(a), b) / size).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.lit(0.0)))
+    product = lambda x, y: sum((F.coalesce(x[i] * F.lit(float(r)) * y[i], F.lit(0.0)) for i, r in enumerate(REPEATS)), F.lit(0.0))
+    size = F.sqrt(product(a, a)) * F.sqrt(product(b, b))
+    return F.when(size > 0, product(a, b) / size).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.lit(0.0)))
 
 
 def feature_vector(c: Column) -> Column:

@@ -25,41 +25,49 @@ def completeness(c: Column) -> Column:
     """1 less what an unfinished end or a short start costs, 0.1 at least."""
     end = T.rstrip(c)
     minus = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
-    cost = minus(~end.rlike("[。.！!？?；;]$"), 0.3) + minus(F.length(F.split(c, "。", -1)[0]) < 10, 0.2) + minus(end.rlike(r"(\((续|未完)\)|（(续|未完)）)$"), 0.4)
+    cost = minus(~end.rlike("[。.！!？?；;]$"), 0.3) + minus(F.length(F.substring_index(c, "。", 1)) < 10, 0.2) + minus(end.rlike(r"(\((续|未完)\)|（(续|未完)）)$"), 0.4)
     return F.greatest(F.lit(0.1), 1.0 - cost - minus(end.rlike(r"(\.\.\.|……)$"), 0.2) - minus(end.endswith("详见"), 0.2))
 
 
 def density(c: Column) -> Column:
     """Share of distinct words, and how much the sentences' lengths vary."""
-    words = T.words(c)
-    rich = F.size(F.array_distinct(F.transform(F.filter(words, lambda w: w.rlike(r"^\p{L}+$")), F.lower))) / F.size(words)
     sizes = F.transform(T.quality_sentences(c), lambda s: F.size(T.words(s)).cast("double"))
-    n = F.size(sizes)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    mean = total(sizes) / n
-    spread = F.sqrt(total(F.transform(sizes, lambda x: (x - mean) * (x - mean))) / n)
-    varied = F.when(n > 1, F.least(F.lit(1.0), spread / (mean + 1e-6))).otherwise(F.lit(0.0))
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(0.7 * rich + 0.3 * varied)
+    sums = lambda n, total, squares: F.struct(n.alias("n"), total.alias("total"), squares.alias("squares"))
+    spread = lambda s: F.sqrt(F.greatest(s["n"] * s["squares"] - s["total"] * s["total"], F.lit(0.0))) / s["n"]
+    varied = F.aggregate(
+        sizes, sums(F.lit(0.0), F.lit(0.0), F.lit(0.0)), lambda s, x: sums(s["n"] + 1.0, s["total"] + x, s["squares"] + x * x),
+        lambda s: F.when(s["n"] > 1, F.least(F.lit(1.0), spread(s) / (s["total"] / s["n"] + 1e-6))).otherwise(F.lit(0.0)),
+    )
+    rich = lambda w: F.size(F.array_distinct(F.transform(F.filter(w, lambda x: x.rlike(r"^\p{L}+$")), F.lower))) / F.size(w)
+    return T.bound(T.words(c), lambda w: F.when(F.size(w) == 0, F.lit(0.0)).otherwise(0.7 * rich(w) + 0.3 * varied))
 
 
 def inner_coherence(c: Column) -> Column:
     """Mean cosine of neighbouring sentences' features; 1 for one sentence."""
-    v = F.transform(T.quality_sentences(c), text_features)
-    pairs = F.zip_with(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), feature_cosine)
-    return F.when(F.size(v) < 2, F.lit(1.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs))
+    pairs = lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), feature_cosine)
+    mean = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + x) / F.size(p)
+    return T.bound(F.transform(T.quality_sentences(c), text_features), lambda v: F.when(F.size(v) < 2, F.lit(1.0)).otherwise(T.bound(pairs(v), mean)))
+
+
+def _with_boundaries(chunks: DataFrame, **keep: Column) -> DataFrame:
+    """(doc_id, chunk_id, ``keep``, score): score of the boundary with the next chunk, null for the last. Features and not texts are shuffled."""
+    c = F.col("content")
+    ends = F.right(c, F.lit(100)).alias("_q_tail"), F.left(c, F.lit(100)).alias("_q_head")
+    bonus = F.when(T.ends_with_stop(c, semicolon=False), 0.2).otherwise(0.0).alias("_q_stop"), F.when(T.lstrip(c).rlike("^[第章节一二三四五]"), 0.1).otherwise(0.0).alias("_q_opening")
+    texts = chunks.select("doc_id", "chunk_id", *[v.alias(k) for k, v in keep.items()], *ends, *bonus)
+    narrow = texts.withColumns({k: F.when(F.col(k).isNotNull(), text_features(F.col(k))) for k in ("_q_tail", "_q_head")})
+    after = lambda k: F.lead(k).over(Window.partitionBy("doc_id").orderBy("chunk_id"))
+    paired = narrow.withColumns({"_q_next": after("_q_head"), "_q_next_opening": after("_q_opening")})
+    score = 1 - feature_cosine(F.col("_q_tail"), F.col("_q_next")) + F.col("_q_stop") + F.col("_q_next_opening")
+    return paired.select("doc_id", "chunk_id", *keep, F.when(F.col("_q_next").isNotNull(), F.least(F.lit(1.0), score)).alias("score"))
 
 
 def boundary_scores(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, score) of each chunk's boundary with the next."""
-    after = chunks.withColumn("after", F.lead("content").over(Window.partitionBy("doc_id").orderBy("chunk_id"))).filter("after IS NOT NULL")
-    c, n = F.col("content"), F.col("after")
-    score = 1 - feature_cosine(text_features(F.right(c, F.lit(100))), text_features(F.left(n, F.lit(100))))
-    score += F.when(T.ends_with_stop(c, semicolon=False), 0.2).otherwise(0.0) + F.when(T.lstrip(n).rlike("^[第章节一二三四五]"), 0.1).otherwise(0.0)
-    return after.select("doc_id", "chunk_id", F.least(F.lit(1.0), score).alias("score"))
+    return _with_boundaries(chunks).filter("score IS NOT NULL")
 
 
-def length_balance() -> Column:
-    size = F.length("content")
+def length_balance(size: Column) -> Column:
     return F.when(F.count("*") < 2, F.lit(1.0)).when(F.avg(size) == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.stddev_pop(size) / F.avg(size)))
 
 
@@ -67,14 +75,13 @@ def evaluate(chunks: DataFrame) -> DataFrame:
     """One row of measures and advice per document; chunks need coherence_score or semantic_score."""
     coherence = F.col("coherence_score" if "coherence_score" in chunks.columns else "semantic_score")
     limited = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    size = F.length("content")
-    base = chunks.groupBy("doc_id").agg(
-        F.count("*").alias("n_chunks"), F.avg(limited(coherence)).alias("avg_coherence"), F.avg(limited(completeness(F.col("content")))).alias("avg_completeness"),
-        length_balance().alias("length_balance"), F.avg(limited(density(F.col("content")))).alias("avg_semantic_density"), (F.max(size) / (F.min(size) + 1)).alias("spread"),
-        F.avg(size).alias("avg_length"), F.min(size).alias("min_length"), F.max(size).alias("max_length"),
+    c, size = F.col("content"), F.col("_q_size")
+    measured = _with_boundaries(chunks, _q_size=F.length("content"), _q_coherence=limited(coherence), _q_completeness=limited(completeness(c)), _q_density=limited(density(c)))
+    out = measured.groupBy("doc_id").agg(
+        F.count("*").alias("n_chunks"), F.avg("_q_coherence").alias("avg_coherence"), F.avg("_q_completeness").alias("avg_completeness"),
+        length_balance(size).alias("length_balance"), F.avg("_q_density").alias("avg_semantic_density"), (F.max(size) / (F.min(size) + 1)).alias("spread"),
+        F.avg(size).alias("avg_length"), F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.coalesce(F.avg("score"), F.lit(1.0)).alias("boundary_quality"),
     )
-    edges = boundary_scores(chunks).groupBy("doc_id").agg(F.avg("score").alias("boundary_quality"))
-    out = base.join(edges, "doc_id", "left").withColumn("boundary_quality", F.coalesce("boundary_quality", F.lit(1.0)))
     return out.withColumn("overall_score", overall()).withColumn("suggestions", advice()).drop("spread")
 
 

@@ -280,7 +280,7 @@ def semantic_density(spark, sf):
 
 @query(f"WITH RECURSIVE {_PACK} SELECT doc_id, round(CASE WHEN count(*) < 2 THEN 1.0 WHEN avg(length(content)) = 0 THEN 0.0 ELSE greatest(0.0, 1 - stddev_pop(length(content)) / avg(length(content))) END, 6) AS balance FROM ch GROUP BY doc_id")
 def length_balance(spark, sf):
-    return _chunks(spark, sf).groupBy("doc_id").agg(F.round(Q.length_balance(), 6).alias("balance"))
+    return _chunks(spark, sf).groupBy("doc_id").agg(F.round(Q.length_balance(F.length("content")), 6).alias("balance"))
 
 
 _EDGES = f"""
