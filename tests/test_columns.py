@@ -257,3 +257,33 @@ def test_ids_of_any_type(spark):
         from quernstone.operators.chunks import optimised
 
         optimised(docs.selectExpr("doc_id", "0 AS chunk_id", "text AS content"), ChunkConfig(), "polish")
+
+
+def test_trims_agree_with_the_pattern_of_white_space(spark):
+    from quernstone.functions import text as T
+
+    rows = [(i, f"{chr(i)}a{chr(i)}b{chr(i)}\n") for i in range(1, 0x3100)] + [(0, ""), (-1, " \n\t"), (-2, None)]
+    c = F.col("c")
+    pairs = [(T.strip(c), r"(?U)^\s+|\s+$"), (T.rstrip(c), r"(?U)\s+$"), (T.lstrip(c), r"(?U)^\s+")]
+    df = spark.createDataFrame(rows, "i int, c string")
+    for got, pattern in pairs:
+        assert df.filter(~got.eqNullSafe(F.regexp_replace(c, pattern, ""))).count() == 0
+
+
+def test_key_phrases_of_empty_null_and_repeated_rows(spark):
+    from quernstone.operators.phrases import key_phrases
+
+    docs = spark.createDataFrame([(1, "beta alpha beta"), (1, "gamma"), (2, ""), (3, None)], "doc_id long, text string")
+    assert sorted(map(tuple, key_phrases(docs).collect())) == [(1, "alpha", 1, 2), (1, "beta", 2, 1), (1, "gamma", 1, 1)]
+    assert key_phrases(docs.limit(0)).count() == 0
+
+
+def test_evaluation_of_null_contents_and_a_lone_chunk(spark):
+    from quernstone.operators import quality as Q
+
+    rows = [(1, 0, "One chunk alone, that ends here."), (2, 0, "First part of two。"), (2, 1, None), (3, 0, None)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id int, content string").withColumn("semantic_score", F.lit(0.9))
+    got = {r.doc_id: r for r in Q.evaluate(chunks).collect()}
+    assert {k: r.n_chunks for k, r in got.items()} == {1: 1, 2: 2, 3: 1}
+    assert [got[k].boundary_quality for k in (1, 2, 3)] == [1.0, 1.0, 1.0]
+    assert Q.boundary_scores(chunks).count() == 0
