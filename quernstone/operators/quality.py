@@ -85,6 +85,13 @@ def evaluate(chunks: DataFrame) -> DataFrame:
     return out.withColumn("overall_score", overall()).withColumn("suggestions", advice()).drop("spread")
 
 
+def evaluate_documents(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``evaluate`` with a row for every doc_id of ``docs``: those without chunks have zeros and no advice."""
+    found = docs.select("doc_id").distinct().join(evaluate(chunks), "doc_id", "left")
+    empty = {f.name: F.lit(0) if f.name != "suggestions" else F.array().cast("array<string>") for f in found.schema if f.name != "doc_id"}
+    return found.withColumns({k: F.coalesce(F.col(k), v) for k, v in empty.items()})
+
+
 def overall() -> Column:
     return sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values())
 

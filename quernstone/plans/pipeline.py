@@ -9,7 +9,7 @@ from quernstone import __version__
 from quernstone.config import ChunkConfig
 from quernstone.operators import markdown
 from quernstone.operators.chunks import chunk_documents
-from quernstone.operators.quality import evaluate, statistics, summary
+from quernstone.operators.quality import evaluate, evaluate_documents, statistics, summary
 from quernstone.sources.files import Parser, read_files
 
 
@@ -40,8 +40,9 @@ class Chunker:
         """(doc_id, path, error) of the files under ``path`` that couldn't be read."""
         return read_files(spark, path, parsers).filter("error IS NOT NULL").select("doc_id", "path", "error")
 
-    def evaluate(self, chunks: DataFrame) -> DataFrame:
-        return evaluate(chunks)
+    def evaluate(self, chunks: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+        """Measures and advice per document; with ``docs`` also those that have no chunks."""
+        return evaluate(chunks) if docs is None else evaluate_documents(docs, chunks)
 
     def statistics(self, chunks: DataFrame) -> DataFrame:
         return statistics(chunks)

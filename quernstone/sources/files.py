@@ -237,6 +237,12 @@ def _pictures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Images within the office files under ``path``, with their bytes, a row each; position counts them within a file."""
-    return _binary(spark, path).mapInArrow(_pictures, _IMAGES)
+def read_images(spark: SparkSession, path: str, base_url: str | None = None) -> DataFrame:
+    """Images within the office files under ``path``, with their bytes, a row each; position counts them within a file.
+
+    With ``base_url`` there is a url too, where a server of ``base_url`` could offer them: base_url/doc_id/filename.
+    """
+    images = _binary(spark, path).mapInArrow(_pictures, _IMAGES)
+    if base_url is None:
+        return images
+    return images.withColumn("url", F.concat_ws("/", F.lit(base_url.rstrip("/")), F.col("doc_id").cast("string"), "filename"))

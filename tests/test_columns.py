@@ -287,3 +287,24 @@ def test_evaluation_of_null_contents_and_a_lone_chunk(spark):
     assert {k: r.n_chunks for k, r in got.items()} == {1: 1, 2: 2, 3: 1}
     assert [got[k].boundary_quality for k in (1, 2, 3)] == [1.0, 1.0, 1.0]
     assert Q.boundary_scores(chunks).count() == 0
+
+
+def test_evaluation_of_documents_without_chunks(spark):
+    from quernstone import __version__, version_info
+
+    chunks = spark.createDataFrame([(1, 0, "One chunk alone, that ends here.", 0.9)], "doc_id long, chunk_id int, content string, semantic_score double")
+    got = {r.doc_id: r.asDict() for r in Chunker().evaluate(chunks, spark.createDataFrame([(1,), (2,), (2,)], "doc_id long")).collect()}
+    assert got[1]["n_chunks"] == 1 and got[1]["overall_score"] > 0
+    assert got[2].pop("suggestions") == [] and got[2].pop("doc_id") == 2
+    assert set(got[2].values()) == {0}
+    assert version_info()["version"] == __version__
+
+
+def test_images_have_urls_under_a_base(spark, tmp_path):
+    from quernstone.sources.files import read_images
+
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/media/one.png", b"\x89PNG\r\n\x1a\n" + bytes(200))
+    row = read_images(spark, str(tmp_path), "http://files.test/").first()
+    assert row.url == f"http://files.test/{row.doc_id}/one.png"
+    assert "url" not in read_images(spark, str(tmp_path)).columns
