@@ -6,14 +6,16 @@ written as byte pieces. Forward Viterbi gives each position's best score; a back
 these as exact heuristics, so that segmentations leave it in order of score.
 
 Where no piece has two neighbouring characters side by side, no segmentation spans them: there a text's lattice falls
-into lattices of words. Words are searched once and kept; a text's N best are the N best sums over its words, which only
-words with the N - 1 smallest gaps can change.
+into lattices of words. Words are searched once and kept, with the pieces of their N best. A text is searched the same
+way: forward sums of its words' best scores are the heuristics of a backward A-star search over its words. Only words
+with the N - 1 smallest gaps can differ from their best one among a text's N best; the search steps over all others.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
+import math
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,24 +38,40 @@ class _Words(dict):
         super().__init__()
         self.model, self.n, self.pooled = model, n, 0
         self.best, self.gap, self.pool = (np.zeros(1024, k) for k in (float, float, np.int32))
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.start, self.size = np.zeros(1024, np.int64), np.zeros((1024, n), np.int32)
         self.scores: list[tuple[float, ...]] = []
+        self.new: list[list[tuple[float, tuple[int, ...]]]] = []
 
     def __missing__(self, word: str) -> int:
         found = self.model.search(word, self.n)
-        at, (score, ids) = len(self), found[0]
-        if at == len(self.best):
+        at = self[word] = len(self)
+        self.new.append(found)
+        self.scores.append(tuple([s for s, _ in found]))
+        return at
+
+    def settle(self) -> None:
+        """Puts what the last searches found into the arrays."""
+        new, self.new = self.new, []
+        a, b = len(self) - len(new), len(self)
+        while b > len(self.best):
             for name in ("best", "gap", "start", "size"):
                 setattr(self, name, np.concatenate([x := getattr(self, name), np.zeros_like(x)]))
+        ids = [x for found in new for _, ids in found for x in ids]
         if self.pooled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), np.int32)])
-        self.best[at], self.gap[at] = score, score - found[1][0] if len(found) > 1 else np.inf
-        self.start[at], self.size[at] = self.pooled, len(ids)
         self.pool[self.pooled : self.pooled + len(ids)] = ids
+        self.best[a:b] = [f[0][0] for f in new]
+        self.gap[a:b] = [f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in new]
+        for k in range(self.n):
+            self.size[a:b, k] = [len(f[k][1]) if k < len(f) else 0 for f in new]
+        total = self.size[a:b].sum(axis=1, dtype=np.int64)
+        self.start[a:b] = self.pooled + np.cumsum(total) - total
         self.pooled += len(ids)
-        self.scores.append(tuple([s for s, _ in found]))
-        self[word] = at
-        return at
+
+    def ids(self, at: int, k: int) -> np.ndarray:
+        """The pieces of a word's segmentation after k better ones."""
+        a = self.start[at] + self.size[at, :k].sum()
+        return self.pool[a : a + self.size[at, k]]
 
 
 def _gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -95,51 +113,71 @@ class Lattice:
         for p in self.piece:
             at = self.char[[ord(c) for c in p]]
             self.joined[at[:-1], at[1:]] = True
-        self.trie: dict = {}
+        self.trie: dict = {}  # characters to [(score, ids) of the piece that ends here, the same for what follows]
         for name, found in self.piece.items():
-            node = self.trie
+            node: list = [None, self.trie]
             for c in name:
-                node = node.setdefault(c, {})
-            node[""] = found
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = found[1], (found[0],)
         self.kept: dict[int, _Words] = {}
 
-    def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end position, (start, score, ids) of the pieces that end there."""
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(text) + 1)]
+    def forward(self, text: str) -> tuple[list[list[tuple[float, int, float, tuple[int, ...]]]], list[float]]:
+        """For each end position, (best score through it, start, score, ids) of the pieces that end there, and the best
+        score of the text up to it."""
         size = len(text)
+        into: list[list[tuple[float, int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
+        best = [0.0] + [-math.inf] * size
+        trie = self.trie
         for a in range(size):
-            node, b = self.trie, a
-            while b < size and (node := node.get(text[b])) is not None:
+            here, nodes, b, one = best[a], trie, a, False
+            while b < size and (node := nodes.get(text[b])) is not None:
                 b += 1
-                if (p := node.get("")) is not None:
-                    into[b].append((a, p[1], (p[0],)))
-            if text[a] not in self.piece:
+                p, nodes = node
+                if p is not None:
+                    s, ids = p
+                    f = here + s
+                    into[b].append((f, a, s, ids))
+                    if f > best[b]:
+                        best[b] = f
+                    if b == a + 1:
+                        one = True
+            if not one:
                 ids = tuple(self.bytes_of.get(x, self.unk) for x in text[a].encode()) if self.bytes_of else (self.unk,)
-                into[a + 1].append((a, self.lost, ids))
-        return into
+                f = here + self.lost
+                into[a + 1].append((f, a, self.lost, ids))
+                if f > best[a + 1]:
+                    best[a + 1] = f
+        return into, best
+
+    def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+        """For each end position, (start, score, ids) of the pieces that end there."""
+        return [[(a, s, ids) for _, a, s, ids in x] for x in self.forward(text)[0]]
 
     def search(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of ``text``; among equal scores in an order that depends on the text alone."""
-        into = self.edges(text)
-        best = [0.0] * (len(text) + 1)
-        for b in range(1, len(text) + 1):
-            best[b] = max([best[a] + s for a, s, _ in into[b]])
-        out, serial, left = [], 0, [n] * (len(text) + 1)
-        queue = [(-best[-1], len(text), 0, 0.0, None)]
-        push, pop = heapq.heappush, heapq.heappop
-        while queue and len(out) < n:
-            _, at, _, behind, path = pop(queue)
+        """The n best segmentations of ``text``; among equal scores in an order that depends on the text alone.
+
+        Heuristics are exact and no two entries of the queue share a segmentation, so those past the first that are still
+        asked for can't come to their turn and go.
+        """
+        into, best = self.forward(text)
+        out, serial, room = [], 0, n
+        queue: list = [(-best[-1], len(text), 0, 0.0, None)]
+        while queue and room:
+            _, at, _, behind, path = queue.pop(0)
             if at == 0:
                 ids: list[int] = []
                 while path is not None:
                     ids += path[0]
                     path = path[1]
                 out.append((behind, tuple(ids)))
-            elif left[at]:  # the n best of the text pass a position at most n times, by the n best ways from there
-                left[at] -= 1
-                for a, s, ids in into[at]:
+                room -= 1
+                continue
+            for through, a, s, ids in into[at]:
+                f = -(behind + through)
+                if len(queue) < room or f <= queue[-1][0]:
                     serial += 1
-                    push(queue, (-(behind + s + best[a]), a, serial, behind + s, (ids, path)))
+                    insort(queue, (f, a, serial, behind + s, (ids, path)))
+                    del queue[room:]
         return out
 
     def words(self, text: str) -> list[str]:
@@ -155,28 +193,65 @@ class Lattice:
         kept = self.kept.get(n)
         if kept is None or len(kept) > KEPT:
             kept = self.kept[n] = _Words(self, n)
-        return kept, np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
-
-    def sums(self, kept: _Words, at: np.ndarray, n: int) -> list[tuple[float, dict[int, int]]]:
-        """The n best scores of a text, and which words take another than their best segmentation."""
-        sums: list[tuple[float, dict[int, int]]] = [(0.0, {})]
-        for i in np.argsort(kept.gap[at], kind="stable")[: n - 1].tolist():
-            scores = kept.scores[at[i]]
-            grown = [(gap + scores[0] - s, {**other, i: k} if k else other) for gap, other in sums for k, s in enumerate(scores)]
-            sums = sorted(grown, key=lambda x: x[0])[:n]
-        best = float(kept.best[at].sum())
-        return [(best - gap, other) for gap, other in sums]
+        at = np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
+        if kept.new:
+            kept.settle()
+        return kept, at
+
+    def ways(self, kept: _Words, at: np.ndarray, n: int) -> list[tuple[float, list[tuple[int, int]]]]:
+        """The n best (score, words that take another than their best segmentation and which) of a text, best first."""
+        before = np.concatenate([[0.0], np.cumsum(kept.best[at])])
+        gap, places = kept.gap[at], []
+        while len(places) < min(n - 1, len(at)) and gap[i := int(gap.argmin())] < np.inf:
+            places.append(i)
+            gap[i] = np.inf
+        places.sort()
+        start, after = before[places].tolist(), before[[i + 1 for i in places]].tolist()
+        end = float(before[-1])
+        out, serial, room = [], 0, n
+        queue: list = [(-end, 0, len(places), 0.0, end, None)]
+        while queue and room:
+            f, _, j, behind, reached, path = queue.pop(0)
+            if j == 0:
+                taken = []
+                while path is not None:
+                    taken.append(path[0])
+                    path = path[1]
+                out.append((-f, taken))
+                room -= 1
+                continue
+            j -= 1
+            behind += reached - after[j]  # the words between, by their best
+            for k, s in enumerate(kept.scores[at[places[j]]]):
+                f = -(behind + s + start[j])
+                if len(queue) < room or f <= queue[-1][0]:
+                    serial += 1
+                    insort(queue, (f, serial, j, behind + s, start[j], ((places[j], k), path) if k else path))
+                    del queue[room:]
+        return out
 
-    def encode(self, text: str, n: int = N) -> list[tuple[float, list[int]]]:
+    def nbest(self, text: str, n: int = N) -> list[tuple[float, np.ndarray]]:
         """Up to n best (score, ids) of a text, best first; an empty text has one without pieces."""
-        words = self.words(self.library.normalize(text))
-        ids = [self.search(w, n) for w in words]
-        return [(s, [x for i, f in enumerate(ids) for x in f[other.get(i, 0)][1]]) for s, other in self.sums(*self.found(words, n), n)]
+        kept, at = self.found(self.words(self.library.normalize(text)), n)
+        size = kept.size[at, 0].astype(np.int64)
+        ids, ends = _gathered(kept.pool, kept.start[at], size), np.cumsum(size)
+        out = []
+        for score, taken in self.ways(kept, at, n):
+            parts, done = [], 0
+            for i, k in taken:
+                parts += [ids[done : ends[i] - size[i]], kept.ids(at[i], k)]
+                done = ends[i]
+            out.append((score, np.concatenate([*parts, ids[done:]]) if taken else ids))
+        return out
+
+    def encode(self, text: str, n: int = N) -> list[tuple[float, list[int]]]:
+        """``nbest`` with lists of ids."""
+        return [(s, ids.tolist()) for s, ids in self.nbest(text, n)]
 
     def best(self, text: str, n: int = N) -> tuple[np.ndarray, list[float]]:
         """The best segmentation's ids and the n best scores."""
-        kept, at = self.found(self.words(self.library.normalize(text)), n)
-        return _gathered(kept.pool, kept.start[at], kept.size[at]), [s for s, _ in self.sums(kept, at, n)]
+        found = self.nbest(text, n)
+        return found[0][1], [s for s, _ in found]
 
     def decode(self, ids) -> str:
         """The text of the ids; the space that normalising puts in front goes."""
@@ -194,37 +269,49 @@ def lattice(path: str) -> Lattice:
     return _loaded[path]
 
 
-def _encoded(path: str, n: int, names: list[str]):
+def _lists(lists: list, values: pa.Array) -> pa.ListArray:
+    """``values`` cut into lists of the lengths of ``lists``."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), values)
+
+
+def _ids(arrays: list) -> pa.ListArray:
+    return _lists(arrays, pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]), pa.int32()))
+
+
+def _encoded(path: str, n: int, names: list[str], library: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = [t.as_py() or "" for t in part["text"]]
-                found = [model.best(t, n) for t in texts]
+                found = [model.nbest(t, n) for t in texts]
                 arrays = {
-                    "pieces": pa.array([f[0] for f in found], pa.list_(pa.int32())),
-                    "scores": pa.array([f[1] for f in found], pa.list_(pa.float64())),
-                    "library_ids": pa.array([model.library.encode(t) for t in texts], pa.list_(pa.int32())),
-                    "decoded": pa.array([model.decode(f[0]) for f in found], pa.string()),
+                    "pieces": _ids([f[0][1] for f in found]),
+                    "scores": _lists(found, pa.array([s for f in found for s, _ in f], pa.float64())),
+                    "nbest": _lists(found, _ids([ids for f in found for _, ids in f])),
+                    "decoded": pa.array([model.decode(f[0][1]) for f in found], pa.string()),
                 }
+                if library:
+                    arrays["library_ids"] = pa.array([model.library.encode(t) for t in texts], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part[x] for x in names), *arrays.values()], names=[*names, *arrays])
 
     return run
 
 
-_ADDED = ["pieces array<int>", "scores array<double>", "library_ids array<int>", "decoded string"]
+_ADDED = ["pieces array<int>", "scores array<double>", "nbest array<array<int>>", "decoded string", "library_ids array<int>"]
 
 
 def encode(docs: DataFrame, keep: list[str], path: str | None = None, n: int = N) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and four of each text: pieces array<int>, the best segmentation; scores array<double>
-    of the n best; library_ids array<int>, what the library itself gives; decoded string, the text of ``pieces``.
+    """Columns ``keep`` of ``docs`` and five of each text: pieces array<int>, the best segmentation; scores array<double>
+    of the n best, and nbest array<array<int>>, these segmentations, the first of which is ``pieces``; decoded string, the
+    text of ``pieces``; library_ids array<int>, what the library itself gives.
 
     A segmentation's score is the sum of its pieces' scores in the model file. Where those are merge ranks, as in a BPE
     model, it is no probability: the best sum isn't the segmentation that merging in order of rank gives, which
     ``library_ids`` holds. A null text is an empty one: no pieces, one score of 0 and an empty decoded text. Rows,
-    repeated ones too, stay as they are; a text with fewer than n segmentations has fewer scores. The sign U+2581, which
-    stands for a space in pieces, decodes to one. ``keep`` can't have columns named as the four. An empty table gives an
+    repeated ones too, stay as they are; a text with fewer than n segmentations has fewer. The sign U+2581, which
+    stands for a space in pieces, decodes to one. ``keep`` can't have columns named as the five. An empty table gives an
     empty one.
     """
     small_batches(docs.sparkSession)
@@ -251,22 +338,26 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(trimmed(_decoded(path or tokenizer_path(MODEL), encoded.columns)), ", ".join([*kinds, "text string"]))
 
 
-_DIGEST = "doc_id long, n_bytes long, n_pieces long, ids_sha256 string, scores array<double>, decoded_sha256 string, round_trip boolean"
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("scores", pa.list_(pa.float64())), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_()), ("nbest_sha256", pa.list_(pa.string())), ("nbest_round_trip", pa.bool_())])
+_DIGEST_KINDS = "doc_id long, n_bytes long, n_pieces long, ids_sha256 string, scores array<double>, decoded_sha256 string, round_trip boolean, nbest_sha256 array<string>, nbest_round_trip boolean"
 
 
 def _digest(path: str, n: int):
+    """The operator's rows, ids and texts as hashes of 32-bit numbers and of UTF-8."""
+    encoded = _encoded(path, n, ["doc_id", "text"], library=False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in encoded(batches):
             out = []
-            for d, t in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                text = t.as_py()
-                ids, scores = model.best(text, n)
-                back = model.decode(ids)
-                out.append((d, len(text.encode()), len(ids), sha(ids.astype(np.int32).tobytes()), scores, sha(back.encode()), back == text))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in _DIGEST.split(", ")])
+            for d, t, scores, nbest, decoded in zip(*(batch[x] for x in ("doc_id", "text", "scores", "nbest", "decoded"))):
+                text, back = t.as_py(), decoded.as_py()
+                ids = [np.asarray(x.values) for x in nbest]
+                hashes = [sha(x.tobytes()) for x in ids]
+                others = all(model.decode(x) == text for x in ids[1:])
+                out.append((d.as_py(), len(text.encode()), len(ids[0]), hashes[0], scores.as_py(), sha(back.encode()), back == text, hashes, back == text and others))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*out), _DIGEST)], schema=_DIGEST)
 
     return run
 
@@ -274,4 +365,4 @@ def _digest(path: str, n: int):
 def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-    return docs.mapInArrow(trimmed(_digest(tokenizer_path(MODEL), N)), _DIGEST)
+    return docs.mapInArrow(trimmed(_digest(tokenizer_path(MODEL), N)), _DIGEST_KINDS)

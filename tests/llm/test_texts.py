@@ -1,6 +1,7 @@
 """Token counts, media columns, pieces, quality and language."""
 
 import collections
+import hashlib
 import random
 
 import numpy as np
@@ -201,6 +202,41 @@ def test_pieces_round_trip(docs):
     assert pieces.encode(docs.limit(0), ["doc_id"]).collect() == [] == pieces.decode(encoded.limit(0).select("pieces")).collect()
 
 
+def test_nbest_segmentations(spark):
+    model, n = pieces.lattice(tokenizer_path(pieces.MODEL)), pieces.N
+
+    def every(into, b):
+        if not b:
+            yield 0.0, ()
+        for a, s, ids in into[b]:
+            for x, before in every(into, a):
+                yield x + s, before + ids
+
+    r = random.Random(2)
+    texts = ["", "a", *{" ".join("".join(r.choice("theo\nañ") for _ in range(r.randrange(0, 5))) for _ in range(r.randrange(1, 4))) for _ in range(40)}]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pieces.encode(rows, ["doc_id", "text"]).collect()
+    assert len(found) == len(texts) and any(len(x.nbest) == n for x in found)
+    for x in found:
+        norm = model.library.normalize(x.text)
+        want = sorted(every(model.edges(norm), len(norm)), reverse=True)
+        assert x.scores == [s for s, _ in want[:n]] and x.nbest[0] == x.pieces and len(x.nbest) == len(x.scores)
+        assert len({tuple(ids) for ids in x.nbest}) == len(x.nbest)
+        assert all((s, tuple(ids)) in want and model.decode(ids) == x.text for s, ids in zip(x.scores, x.nbest))
+
+
+def test_nbest_query(spark):
+    sf = "/root/testdata/sf0.001"
+    sha = lambda ids: hashlib.sha256(np.array(ids, np.int32).tobytes()).hexdigest()
+    want = {x.doc_id: x for x in pieces.encode(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id", "text"]).collect()}
+    rows = pieces.op4_sentencepiece_nbest(spark, sf).collect()
+    assert len(rows) == len(want)
+    for x in rows:
+        w = want[x.doc_id]
+        assert x.nbest_sha256 == [sha(ids) for ids in w.nbest] and x.scores == w.scores and x.nbest_round_trip
+        assert x.ids_sha256 == x.nbest_sha256[0] and x.n_pieces == len(w.pieces) and x.decoded_sha256 == hashlib.sha256(w.decoded.encode()).hexdigest()
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
