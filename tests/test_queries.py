@@ -37,6 +37,18 @@ def test_query(spark, con, name):
         assert rows
 
 
+@pytest.mark.parametrize("name", ["quality_evaluation"])
+def test_measures_on_the_thresholds_of_advice(spark, tmp_path, name):
+    words = " ".join("abcdefghijklmnopqrst"[i % 20] for i in range(35))  # 20 of 35: density 0.4
+    parts = ["word" * 125 + "……", "短。" + "word" * 125 + "。", "短。" + "text" * 125 + "。"]  # completeness 0.5, 0.8, 0.8
+    spark.createDataFrame([(1, words), (2, "\n".join(parts))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    rel = duckdb.connect().execute(queries.ORACLES[name].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
+    names = [d[0] for d in rel.description]
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(tuple(verify.canon(r[c]) for c in names) for r in df.collect()) == sorted(tuple(map(verify.canon, r)) for r in rel.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
