@@ -37,7 +37,7 @@ def test_query(spark, con, name):
         assert rows
 
 
-@pytest.mark.parametrize("name", ["quality_evaluation"])
+@pytest.mark.parametrize("name", ["quality_evaluation", "quality_report"])
 def test_measures_on_the_thresholds_of_advice(spark, tmp_path, name):
     words = " ".join("abcdefghijklmnopqrst"[i % 20] for i in range(35))  # 20 of 35: density 0.4
     parts = ["word" * 125 + "……", "短。" + "word" * 125 + "。", "短。" + "text" * 125 + "。"]  # completeness 0.5, 0.8, 0.8
