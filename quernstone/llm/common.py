@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.functions.batches import small_batches
+
 #: The bytes that separate words everywhere in this subpackage: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,19 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of an Arrow batch between the JVM and Python, so that long texts don't fill a worker.
-BATCH = 8 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit on the bytes of an Arrow batch to BATCH; a lower setting stays."""
-    found = spark.conf.get(_BATCH_SETTING, None)
-    size = re.fullmatch(r"(\d+)([kmg]?)b?", (found or "").lower())
-    if not size or not 0 < int(size[1]) * 1024 ** " kmg".index(size[2] or " ") <= BATCH:
-        spark.conf.set(_BATCH_SETTING, str(BATCH))
-
-
 def trim() -> None:
     """Gives what a Python worker has freed back to the system: idle workers wait in the executor for later stages."""
     gc.collect()

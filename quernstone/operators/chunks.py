@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.config import ChunkConfig, CoherenceConfig
+from quernstone.functions import batches as A
 from quernstone.functions import text as T
 from quernstone.operators import folds
 from quernstone.operators.folds import Chunk, Element
@@ -288,8 +289,9 @@ def repacked_paragraphs(docs: DataFrame, cfg: ChunkConfig, separator: str = r"\n
     """(doc_id, pos, content): blocks, those over the largest size packed anew from their sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in A.slices(batches):
             out = [(d, k, p) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"]) for k, p in enumerate(folds.paragraphs(t.as_py() or "", cfg, separator))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "pos", "content"])
 
+    A.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, content string")
