@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.config import ChunkConfig
+from quernstone.functions import batches as A
 from quernstone.functions import text as T
 from quernstone.functions import vectors as V
 from quernstone.operators import boundaries as B
@@ -142,10 +143,11 @@ def pipe_table_parse(spark, sf):
     from quernstone.operators.folds import parse_table
 
     def run(batches):
-        for b in batches:
+        for b in A.slices(batches):
             rows = [parse_table(x.as_py() or "") for x in b["text"]]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(rows, pa.list_(pa.list_(pa.string())))], names=["doc_id", "data"])
 
+    A.small_batches(spark)
     return _docs(spark, sf).mapInArrow(run, "doc_id long, data array<array<string>>").filter("data IS NOT NULL")
 
 
